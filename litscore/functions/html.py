@@ -13,6 +13,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from litscore.functions.bind import let
+
 # One attribute: name, then optionally = and a quoted or bare value.
 _VALUE = r"\"[^\"]*\"|'[^']*'|[^\s\"'>]+"
 _ATTRIBUTE = rf"\s+[^\s=>\"']+(?:\s*=\s*(?:{_VALUE}))?"
@@ -28,25 +30,31 @@ def strip_noise(html: Column) -> Column:
 
 
 def _decode_entity(token: Column) -> Column:
-    hexadecimal = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-    decimal = F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1)
-    code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal)
-    code = code.cast("int")
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    hexadecimal = F.conv(F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10)
+    decimal = F.nullif(F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1), F.lit(""))
+
+    def character(code: Column) -> Column:
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    numeric = let(F.coalesce(hexadecimal, decimal).cast("int"), character)
     named = F.from_json(F.lit(_NAMED), "map<string,string>")[
         F.regexp_extract(token, r"^&([a-zA-Z0-9]+);$", 1)
     ]
-    return F.coalesce(numeric, named, token)
+    return F.coalesce(F.when(token.startswith("&#"), numeric).otherwise(named), token)
 
 
 def unescape(text: Column) -> Column:
     """Replace character references, each once: ``&amp;lt;`` becomes ``&lt;``."""
-    tokens = F.regexp_extract_all(text, F.lit(r"&#?[a-zA-Z0-9]+;|[^&]+|&"), F.lit(0))
-    decoded = F.transform(
-        tokens, lambda t: F.when(t.startswith("&"), _decode_entity(t)).otherwise(t)
-    )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(r"&#?[a-zA-Z0-9]+;|[^&]+|&"), F.lit(0))
+        decoded = F.transform(
+            tokens, lambda x: F.when(x.startswith("&"), _decode_entity(x)).otherwise(x)
+        )
+        return F.when(F.contains(t, F.lit("&")), F.array_join(decoded, "")).otherwise(t)
+
+    return let(text, replaced)
 
 
 def text_of(html: Column) -> Column:
@@ -56,11 +64,13 @@ def text_of(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of one attribute of an opening tag, null where it is absent."""
+
+    def value(raw: Column) -> Column:
+        bare = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        return F.when(raw != "", unescape(F.when(raw.rlike("^[\"']"), bare).otherwise(raw)))
+
     pattern = rf"(?is)^<\w+(?:{_ATTRIBUTE})*?\s+{name}\s*=\s*({_VALUE})"
-    raw = F.regexp_extract(tag, pattern, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    value = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", unescape(value))
+    return let(F.regexp_extract(tag, pattern, 1), value)
 
 
 def has_class(tag_class: Column, name: str) -> Column:
@@ -119,7 +129,7 @@ def element_body(
     """
     opening, closing = rf"^<(?i:{tag})[\s/>]", rf"^</(?i:{tag})\s*>"
     rest = F.regexp_extract(html, rf"(?s){_opening(tag, attr, value)}.*", 0)
-    tokens = F.regexp_extract_all(
+    pieces = F.regexp_extract_all(
         rest, F.lit(rf"(?s)<(?i:{tag})(?=[\s/>]){_INSIDE}>|</(?i:{tag})\s*>|.[^<]*+"), F.lit(0)
     )
 
@@ -135,6 +145,11 @@ def element_body(
         return F.struct(moved.cast("int").alias("depth"), taken.cast("int").alias("taken"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"))
-    taken = F.aggregate(tokens, start, step, lambda s: s["taken"])
-    # the first token taken is the opening tag itself
-    return F.when(rest != "", F.array_join(F.slice(tokens, F.lit(2), taken - 1), ""))
+
+    def inner(tokens: Column) -> Column:
+        # the first token taken is the opening tag itself
+        taken = F.aggregate(tokens, start, step, lambda s: s["taken"])
+        body = F.array_join(F.slice(tokens, F.lit(2), taken - 1), "")
+        return F.when(F.size(tokens) > 0, body)
+
+    return let(pieces, inner)

@@ -24,7 +24,7 @@ def unwrap_text(col: Column) -> Column:
     A blank line inside leaves two spaces, as it is a line like any other.
     """
     lines = F.transform(F.split(strip_text(col), "\n"), strip_text)
-    return F.when(col != "", F.array_join(lines, " "))
+    return F.nullif(F.array_join(lines, " "), F.lit(""))
 
 
 def first_simple(col: Column, depth: int) -> Column:

@@ -8,11 +8,12 @@ be unique, as each message is handled on its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litscore.functions.bind import let
 from litscore.functions.html import anchors, has_class, text_of
 from litscore.functions.text import last_segment, strip_text
 
@@ -68,8 +69,12 @@ def message_links(msgs: DataFrame) -> DataFrame:
     )
 
 
+# Rules read the anchors of a message from _LINKS and its text from _TEXT.
+_LINKS, _TEXT = "_links", "_text"
+
+
 def _biorxiv_urls() -> Column:
-    urls = F.transform(anchors(_body()), lambda a: a["href"])
+    urls = F.transform(_LINKS, lambda a: a["href"])
 
     def known(url: Column) -> Column:
         test = F.lit(False)
@@ -81,20 +86,20 @@ def _biorxiv_urls() -> Column:
 
 
 def _arxiv_ids() -> Column:
-    lines = F.transform(F.split(text_of(_body()), "\n"), strip_text)
+    lines = F.transform(F.split(_TEXT, "\n"), strip_text)
     pattern = r"^arXiv:([a-zA-Z0-9]+\.[a-zA-Z0-9]+)$"
     return F.transform(lines, lambda line: F.regexp_extract(line, pattern, 1))
 
 
 def _pubmed_pmids() -> Column:
-    titles = F.filter(anchors(_body()), lambda a: has_class(a["class"], "docsum-title"))
+    titles = F.filter(_LINKS, lambda a: has_class(a["class"], "docsum-title"))
     return F.transform(titles, lambda a: F.regexp_extract(a["ref"], r"^article_id=([0-9]+)$", 1))
 
 
 def query_parameter(query: Column, name: str) -> Column:
     """The first value of a parameter of a query string, decoded; null if absent."""
     raw = F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1)
-    return F.when(raw != "", F.try_url_decode(raw))
+    return F.try_url_decode(F.nullif(raw, F.lit("")))
 
 
 def url_path(url: Column) -> Column:
@@ -108,45 +113,57 @@ def url_query(url: Column) -> Column:
 
 
 def decode_base64_url(col: Column) -> Column:
-    """Text behind url-safe base64, padded or not; null if it is not that."""
-    plain = F.translate(F.rtrim(col, F.lit("=")), "-_", "+/")
-    padded = F.rpad(plain, F.ceil(F.length(plain) / 4).cast("int") * 4, "=")
-    return F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    """Text behind url-safe base64, padded or not; null if it is not that.
 
+    Other characters, such as line breaks, are skipped.
+    """
 
-def _nature_alert_dois() -> Column:
-    def doi(a: Column) -> Column:
-        payload = decode_base64_url(query_parameter(url_query(a["href"]), NATURE_PARAMETER))
-        path = url_path(query_parameter(payload, "target"))
-        article = F.regexp_extract(path, r"^/articles/(.+)$", 1)
-        return F.when(article != "", F.concat(F.lit(f"{NATURE_PREFIX}/"), article))
+    def decoded(plain: Column) -> Column:
+        padded = F.rpad(plain, F.ceil(F.length(plain) / 4).cast("int") * 4, "=")
+        return F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+    return let(F.translate(F.regexp_replace(col, "[^A-Za-z0-9+/_-]", ""), "-_", "+/"), decoded)
 
-    return F.transform(anchors(_body()), doi)
+
+def _nature_alert_dois() -> Column:
+    def target(a: Column) -> Column:
+        packed = let(
+            url_query(a["href"]), lambda query: query_parameter(query, NATURE_PARAMETER)
+        )
+        return let(
+            decode_base64_url(packed), lambda payload: query_parameter(payload, "target")
+        )
+
+    articles = F.transform(
+        _LINKS, lambda a: F.regexp_extract(url_path(target(a)), r"^/articles/(.+)$", 1)
+    )
+    found = F.filter(articles, lambda x: x != "")
+    return F.transform(found, lambda x: F.concat(F.lit(f"{NATURE_PREFIX}/"), x))
 
 
 def _nature_ealert_dois() -> Column:
-    return F.regexp_extract_all(text_of(_body()), F.lit(r"\bdoi:([^\s]+)"), F.lit(1))
+    return F.regexp_extract_all(_TEXT, F.lit(r"\bdoi:([^\s]+)"), F.lit(1))
 
 
 def _s2_ids() -> Column:
-    links = F.filter(anchors(_body()), lambda a: has_class(a["class"], "paper-link"))
+    links = F.filter(_LINKS, lambda a: has_class(a["class"], "paper-link"))
     return F.transform(links, lambda a: last_segment(url_path(a["href"])))
 
 
 def _science_urls() -> Column:
-    links = F.filter(anchors(_body()), lambda a: a["text"].rlike(r"(?i)read more"))
+    links = F.filter(_LINKS, lambda a: a["text"].rlike(r"(?i)read more"))
     return F.transform(links, lambda a: a["href"])
 
 
-# The handler of each route: the kind of id it yields and the rule.
-HANDLERS: dict[str, tuple[str, Callable[[], Column]]] = {
-    "biorxiv": ("biorxiv_url", _biorxiv_urls),
-    "pubmed": ("pmid", _pubmed_pmids),
-    "nature_alert": ("nature_doi", _nature_alert_dois),
-    "nature_ealerts": ("nature_doi", _nature_ealert_dois),
-    "s2": ("s2", _s2_ids),
-    "arxiv": ("arxiv", _arxiv_ids),
-    "science": ("science_url", _science_urls),
+# The handler of each route: the kind of id it yields, what it reads and the rule.
+HANDLERS: dict[str, tuple[str, str, Callable[[], Column]]] = {
+    "biorxiv": ("biorxiv_url", _LINKS, _biorxiv_urls),
+    "pubmed": ("pmid", _LINKS, _pubmed_pmids),
+    "nature_alert": ("nature_doi", _LINKS, _nature_alert_dois),
+    "nature_ealerts": ("nature_doi", _TEXT, _nature_ealert_dois),
+    "s2": ("s2", _LINKS, _s2_ids),
+    "arxiv": ("arxiv", _TEXT, _arxiv_ids),
+    "science": ("science_url", _LINKS, _science_urls),
 }
 
 
@@ -154,15 +171,26 @@ def _distinct_ids(ids: Column) -> Column:
     return F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
 
 
-def _rows(msgs: DataFrame, id_type: Column, ids: Column) -> DataFrame:
-    return msgs.select(
-        "message_id", id_type.alias("id_type"), F.explode(_distinct_ids(ids)).alias("id")
+def _read_bodies(routed: DataFrame, routes: Iterable[str]) -> DataFrame:
+    """Add what the handlers of ``routes`` read, each for the messages that need it."""
+
+    def reading(source: str) -> Column:
+        return F.col("route").isin([r for r in routes if HANDLERS[r][1] == source])
+
+    return routed.withColumns(
+        {
+            _LINKS: F.when(reading(_LINKS), anchors(_body())),
+            _TEXT: F.when(reading(_TEXT), text_of(_body())),
+        }
     )
 
 
 def _extract_one(msgs: DataFrame, route: str) -> DataFrame:
-    kind, rule = HANDLERS[route]
-    return _rows(route_messages(msgs).filter(F.col("route") == route), F.lit(kind), rule())
+    kind, _, rule = HANDLERS[route]
+    routed = route_messages(msgs).filter(F.col("route") == route)
+    return _read_bodies(routed, [route]).select(
+        "message_id", F.lit(kind).alias("id_type"), F.explode(_distinct_ids(rule())).alias("id")
+    )
 
 
 def biorxiv_urls(msgs: DataFrame) -> DataFrame:
@@ -201,33 +229,43 @@ def science_urls(msgs: DataFrame) -> DataFrame:
 
 
 def with_ids(msgs: DataFrame) -> DataFrame:
-    """Add ``route``, ``id_type`` and ``ids``, the distinct ids of each message."""
+    """``(message_id, route, id_type, ids)``: the distinct ids of each message."""
     kind, ids = F.lit(None).cast("string"), F.array().cast("array<string>")
     route = F.col("route")
-    for name, (id_type, rule) in HANDLERS.items():
+    for name, (id_type, _, rule) in HANDLERS.items():
         kind = F.when(route == name, F.lit(id_type)).otherwise(kind)
         ids = F.when(route == name, rule()).otherwise(ids)
-    routed = route_messages(msgs)
-    return routed.withColumns(
-        {"id_type": kind, "ids": F.coalesce(_distinct_ids(ids), F.array().cast("array<string>"))}
+    nothing = F.array().cast("array<string>")
+    return _read_bodies(route_messages(msgs), list(HANDLERS)).select(
+        "message_id",
+        "route",
+        kind.alias("id_type"),
+        F.coalesce(_distinct_ids(ids), nothing).alias("ids"),
     )
 
 
-def _unhandled_reason() -> Column:
-    return F.when(F.col("route") == UNKNOWN_SENDER, UNKNOWN_SENDER).when(
-        F.size("ids") == 0, NO_IDS
+def id_rows(extracted: DataFrame) -> DataFrame:
+    """One row per id of :func:`with_ids`.
+
+    The explode is of an expression: for one of a bare column Spark infers a filter
+    on its size and pushes it down, where the ids would be extracted a second time.
+    """
+    return extracted.select(
+        "message_id", "id_type", F.explode(F.array_distinct("ids")).alias("id")
     )
 
 
 def extract_article_ids(msgs: DataFrame) -> DataFrame:
     """``(message_id, id_type, id)`` of all messages, distinct within each."""
-    return with_ids(msgs).select("message_id", "id_type", F.explode("ids").alias("id"))
+    return id_rows(with_ids(msgs))
 
 
 def unhandled_messages(msgs: DataFrame) -> DataFrame:
     """``(message_id, reason)`` of messages no rule yields an id for."""
-    return (
-        with_ids(msgs)
-        .select("message_id", _unhandled_reason().alias("reason"))
-        .filter(F.col("reason").isNotNull())
+    reason = F.when(F.col("route") == UNKNOWN_SENDER, UNKNOWN_SENDER).when(
+        F.size("ids") == 0, NO_IDS
+    )
+    # an explode, not a filter: a filter would be pushed down and extract twice
+    return with_ids(msgs).select(
+        "message_id", F.explode(F.array_compact(F.array(reason))).alias("reason")
     )

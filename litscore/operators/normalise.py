@@ -60,7 +60,7 @@ def normalise_arxiv(df: DataFrame) -> DataFrame:
     """arXiv entries; the id comes without its version and also makes the DOI."""
     found = F.regexp_extract(clean_text(F.col("id")), ARXIV_URL, 1)
     arxiv = F.when(found != "", found)
-    names = F.transform("author", lambda a: clean_text(a["name"]))
+    names = F.array_compact(F.transform("author", lambda a: clean_text(a["name"])))
     return to_articles(
         df,
         doi=F.concat(F.lit("10.48550/arXiv."), arxiv),

@@ -197,7 +197,9 @@ def page_fields(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def normalise_pages(df: DataFrame, rules: Sequence[Rule] = PAGE_RULES) -> DataFrame:
     """Article rows of the pages of known publishers, with ``url`` and ``publisher``.
 
-    A field a page does not hold is null.
+    A field a page does not hold is null. The fields leave the job through an
+    explode of one row, so that a later filter on them does not have the rules
+    evaluated a second time below the projection.
     """
     known = df.withColumn("publisher", publisher_of(F.col("url"))).filter(
         F.col("publisher").isNotNull()
@@ -207,7 +209,9 @@ def normalise_pages(df: DataFrame, rules: Sequence[Rule] = PAGE_RULES) -> DataFr
     journal = F.when(F.col("publisher") == "biorxiv", F.lit("BioRxiv")).otherwise(
         fields.get("journal", F.lit(None))
     )
-    return to_articles(parsed, keep=("page_id", "url", "publisher"), **{**fields, "journal": journal})
+    keep = ("page_id", "url", "publisher")
+    rows = to_articles(parsed, keep=keep, **{**fields, "journal": journal})
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("page")).select("page.*")
 
 
 def usable_pages(articles: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _SENDERS = (
 
 def _nature_link(k: str, base64: str) -> str:
     target = f"'x=1&target=http%3A%2F%2Fwww.nature.com%2Farticles%2Fs' || {k} || '%3Fa%3D1'"
-    packed = f"replace(translate({base64.format(target)}, '+/', '-_'), '=', '')"
+    packed = f"translate({base64.format(target)}, '+/=' || chr(13) || chr(10), '-_')"
     return f"'<a href=\"http://x.example/c?u=1&amp;_L54AD1F204_=' || {packed} || '\">read</a>'"
 
 
@@ -211,30 +211,6 @@ def library_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 YEAR = "CAST(1990 + doc_id % 30 AS STRING)"
 _T, _A = ESCAPED.format(TITLE), ESCAPED.format(f"coalesce({ABSTRACT}, '')")
 
-PUBMED_XML = (
-    "'<PubmedArticle><MedlineCitation><Article><Journal><JournalIssue><PubDate>'"
-    f" || CASE WHEN doc_id % 11 = 0 THEN '<MedlineDate>1998 Jan</MedlineDate>' ELSE '<Year>' || {YEAR} || '</Year>' END"
-    " || '</PubDate></JournalIssue><Title>The Journal</Title></Journal><ArticleTitle>'"
-    f" || {_T} || ' <i>in vivo</i></ArticleTitle><Abstract><AbstractText Label=\"AIM\">' || {_A}"
-    " || ' end</AbstractText><AbstractText Label=\"REST\">no</AbstractText></Abstract>'"
-    " || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '<AuthorList><Author>'"
-    " || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '<ForeName>Ada</ForeName>' END"
-    " || '<LastName>Poe</LastName></Author><Author><ForeName>Bo</ForeName><LastName>Li</LastName>"
-    "</Author></AuthorList>' END || '</Article></MedlineCitation><PubmedData><ArticleIdList>'"
-    f" || '<ArticleId IdType=\"pubmed\">' || {ID} || '</ArticleId>'"
-    f" || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '<ArticleId IdType=\"doi\">10.1/' || {ID} || '</ArticleId>' END"
-    " || '</ArticleIdList></PubmedData></PubmedArticle>'"
-)
-
-ARXIV_XML = (
-    f"'<entry><id>http://arxiv.org/abs/' || CASE WHEN doc_id % 6 = 0 THEN 'math/' ELSE '2401.' END || {ID}"
-    f" || 'v2</id><published>' || {YEAR} || '-05-01T00:00:00Z</published><title>' || {_T}"
-    f" || '</title><summary> ' || {_A} || chr(10) || '</summary>'"
-    " || CASE WHEN doc_id % 5 = 0 THEN '' ELSE"
-    " '<author><name>Ada Poe</name></author><author><name>Bo Li</name></author>' END || '</entry>'"
-)
-
-
 def page_html() -> str:
     """An article page of one of four publishers, by document."""
 

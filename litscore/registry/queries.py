@@ -16,7 +16,7 @@ from litscore.plans.alerts import score_messages
 from litscore.plans.library import build_library, embed_library, resolve_library
 from litscore.registry import inputs
 from litscore.schema import ARTICLE_FIELDS
-from litscore.session import scratch_path
+from litscore.session import materialise, scratch_path
 from litscore.sources import (
     read_library,
     read_library_csv,
@@ -30,7 +30,7 @@ from litscore.streaming import score_alert_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Thresholds that part the given data; real vectors are much nearer to each other.
-VECTOR_THRESHOLD = 0.68
+VECTOR_THRESHOLD = 0.73
 TEXT_THRESHOLD = 0.35
 
 
@@ -79,13 +79,18 @@ def message_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_messages(spark, landed).select("message_id", "uid", "sender", "subject")
 
 
-def _dump(kind: str, column: str) -> Query:
-    """Records written as text files, scanned by their kind's reader."""
+def _xml_dump(kind: str, root: str, row: str) -> Query:
+    """Records written as XML documents, scanned by their kind's reader."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, kind)
-        documents = inputs.table(spark, sf_dir, "documents")
-        documents.selectExpr(f"{column} AS value").write.text(path)
+        records = XML_RECORDS[kind](inputs.table(spark, sf_dir, "documents"))
+        (
+            records.write.format("xml")
+            .option("rootTag", root)
+            .option("rowTag", row)
+            .save(path)
+        )
         return NORMALISERS[kind](read_source_dump(spark, kind, path)).drop("notes")
 
     return run
@@ -115,6 +120,73 @@ def _name(given: str | None, family: str | None) -> Column:
     )
 
 
+def _pubmed_records(documents: DataFrame) -> DataFrame:
+    def named(**fields: str) -> Column:
+        return F.struct(
+            *(F.lit(fields.get(n)).cast("string").alias(n) for n in ("ForeName", "LastName"))
+        )
+
+    def article_id(kind: str, value: str) -> Column:
+        return F.struct(F.lit(kind).alias("_IdType"), F.expr(value).alias("_VALUE"))
+
+    def section(label: str, value: str) -> Column:
+        return F.struct(F.lit(label).alias("_Label"), F.expr(value).alias("_VALUE"))
+
+    first = F.when(F.expr("doc_id % 3 = 0"), named(LastName="Poe")).otherwise(
+        named(ForeName="Ada", LastName="Poe")
+    )
+    date = F.struct(
+        F.expr(f"CASE WHEN doc_id % 11 <> 0 THEN {inputs.YEAR} END").alias("Year"),
+        F.expr("CASE WHEN doc_id % 11 = 0 THEN '1998 Jan' END").alias("MedlineDate"),
+    )
+    article = F.struct(
+        F.struct(
+            F.struct(date.alias("PubDate")).alias("JournalIssue"), F.lit("The Journal").alias("Title")
+        ).alias("Journal"),
+        F.struct(
+            F.expr(inputs.TITLE).alias("_VALUE"), F.lit(" in vivo").alias("i")
+        ).alias("ArticleTitle"),
+        F.struct(
+            F.array(
+                section("AIM", f"coalesce({inputs.ABSTRACT}, '') || ' end'"), section("REST", "'no'")
+            ).alias("AbstractText")
+        ).alias("Abstract"),
+        F.when(
+            F.expr("doc_id % 5 <> 0"),
+            F.struct(F.array(first, named(ForeName="Bo", LastName="Li")).alias("Author")),
+        ).alias("AuthorList"),
+    )
+    ids = F.array(
+        article_id("pubmed", inputs.ID),
+        F.when(F.expr("doc_id % 7 <> 0"), article_id("doi", f"'10.1/' || {inputs.ID}")),
+    )
+    return documents.select(
+        F.struct(article.alias("Article")).alias("MedlineCitation"),
+        F.struct(F.struct(F.array_compact(ids).alias("ArticleId")).alias("ArticleIdList")).alias(
+            "PubmedData"
+        ),
+    )
+
+
+def _arxiv_records(documents: DataFrame) -> DataFrame:
+    def author(name: str) -> Column:
+        return F.struct(F.lit(name).alias("name"))
+
+    return documents.select(
+        F.expr(
+            "'http://arxiv.org/abs/' || CASE WHEN doc_id % 6 = 0 THEN 'math/' ELSE '2401.' END"
+            f" || {inputs.ID} || 'v2'"
+        ).alias("id"),
+        F.expr(f"{inputs.YEAR} || '-05-01T00:00:00Z'").alias("published"),
+        F.expr(inputs.TITLE).alias("title"),
+        F.expr(f"' ' || coalesce({inputs.ABSTRACT}, 'none') || chr(10)").alias("summary"),
+        F.when(F.expr("doc_id % 5 <> 0"), F.array(author("Ada Poe"), author("Bo Li"))).alias("author"),
+    )
+
+
+XML_RECORDS = {"pubmed": _pubmed_records, "arxiv": _arxiv_records}
+
+
 def _crossref_records(documents: DataFrame) -> DataFrame:
     year = F.expr(f"CAST({inputs.YEAR} AS INT)")
 
@@ -341,14 +413,18 @@ def leftover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.leftover_urls(inputs.library_rows(spark, sf_dir))
 
 
+def _message_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(extract.extract_article_ids(inputs.messages(spark, sf_dir)), "ids")
+
+
 def resolve_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = extract.extract_article_ids(inputs.messages(spark, sf_dir))
+    ids = _message_ids(spark, sf_dir)
     found = resolve.resolve_by_type(ids, inputs.sources(spark, sf_dir))
     return found.select("id_type", "id", "stage", *_SHOWN)
 
 
 def unresolved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = extract.extract_article_ids(inputs.messages(spark, sf_dir))
+    ids = _message_ids(spark, sf_dir)
     return resolve.unresolved_ids(ids, resolve.resolve_by_type(ids, inputs.sources(spark, sf_dir)))
 
 
@@ -570,8 +646,8 @@ def queries() -> dict[str, Query]:
         "science_urls": _on_messages(extract.science_urls),
         "extract_article_ids": _on_messages(extract.extract_article_ids),
         "unhandled_messages": _on_messages(extract.unhandled_messages),
-        "normalise_pubmed": _dump("pubmed", inputs.PUBMED_XML),
-        "normalise_arxiv": _dump("arxiv", inputs.ARXIV_XML),
+        "normalise_pubmed": _xml_dump("pubmed", "PubmedArticleSet", "PubmedArticle"),
+        "normalise_arxiv": _xml_dump("arxiv", "feed", "entry"),
         "normalise_crossref": _json_dump("crossref"),
         "normalise_s2": _json_dump("s2"),
         "normalise_elsevier": _json_dump("elsevier"),
