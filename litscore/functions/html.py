@@ -26,7 +26,7 @@ _NAMED = json.dumps({"apos": "'", **{n: chr(c) for n, c in name2codepoint.items(
 
 def strip_noise(html: Column) -> Column:
     """Drop comments, scripts and style sheets: neither their tags nor text count."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    return F.regexp_replace(html, r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)", "")
 
 
 def _decode_entity(token: Column) -> Column:

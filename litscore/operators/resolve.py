@@ -18,18 +18,16 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litscore.functions.text import last_segment
+from litscore.operators.joins import first_rows, fits_broadcast, join_unique
 from litscore.operators.normalise import ARXIV_URL
 from litscore.schema import ARTICLE_FIELDS
 
 Sources = Mapping[str, DataFrame]
 
-# At most this many wanted keys are broadcast to the scans of the sources.
-BROADCAST_KEYS = 500_000
-
 OPENREVIEW_FORUM = "https://openreview.net/forum?id="
 ARXIV_ABSTRACT = "https://arxiv.org/abs/"
 
@@ -125,12 +123,9 @@ def _first_record(candidates: Sequence[DataFrame], wanted_keys: DataFrame) -> Da
     """The first record of each wanted ``(id_type, key)`` by rank, then by its ids."""
     pool = reduce(DataFrame.unionByName, candidates)
     on = ["id_type", "key"]
-    if wanted_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    if fits_broadcast(wanted_keys):
         pool = pool.join(F.broadcast(wanted_keys), on, "left_semi")
-    order = Window.partitionBy(*on).orderBy("rank", *ARTICLE_FIELDS)
-    return (
-        pool.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == 1).drop("_n")
-    )
+    return first_rows(pool, on, ["rank", *ARTICLE_FIELDS])
 
 
 def _doi_keys(
@@ -167,13 +162,7 @@ def _elsevier_by_doi(sources: Sources, prefix: str, key: str) -> DataFrame | Non
     records = _articles(sources["elsevier"]).withColumn(
         "pii", last_segment(F.col("publisher_url"))
     )
-    one = Window.partitionBy("pii").orderBy(*ARTICLE_FIELDS)
-    records = (
-        records.filter(F.col("pii").isNotNull())
-        .withColumn("_n", F.row_number().over(one))
-        .filter(F.col("_n") == 1)
-        .drop("_n")
-    )
+    records = first_rows(records.filter(F.col("pii").isNotNull()), ["pii"], [*ARTICLE_FIELDS])
     joined = records.join(redirects, "pii")
     return joined.filter(F.col("doi") == F.col("wanted_doi")) if key == "exact" else joined
 
@@ -264,7 +253,8 @@ def resolve_without_doi(rows: DataFrame, sources: Sources, row_id: str = "row_id
     if not candidates:
         return _empty(rows, "row_id", "route", *ARTICLE_FIELDS)
     first = _first_record(candidates, lookups.select("id_type", "key").distinct())
-    return lookups.join(first, ["id_type", "key"]).select("row_id", "route", *ARTICLE_FIELDS)
+    found = join_unique(lookups, first, ["id_type", "key"])
+    return found.select("row_id", "route", *ARTICLE_FIELDS)
 
 
 def leftover_urls(rows: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from litscore.session import spread
+
 SPARK_BASE64 = "base64(CAST({0} AS BINARY))"
 SQL_BASE64 = "base64(encode({0}))"
 
@@ -18,8 +20,12 @@ HOT = "CAST(doc_id % 50 AS STRING)"
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 
 
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 # --- messages -----------------------------------------------------------------------

@@ -455,10 +455,16 @@ _IDS = {"query_id": "vec_id", "library_id": "vec_id"}
 
 def hash_tfidf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filters.encoder_input(inputs.articles(spark, sf_dir)).select("doc_id", "input")
-    weights = hash_tfidf(rows, dtype="float64").select(
-        "doc_id", F.posexplode("embedding").alias("bucket", "weight")
+    pairs = F.transform(
+        "embedding", lambda w, i: F.struct(i.alias("bucket"), F.round(w, 6).alias("weight"), w.alias("exact"))
+    )
+    # exploding an expression, as Spark pushes a size filter down for a bare column
+    entries = F.explode(F.filter(pairs, lambda e: e["exact"] != 0)).alias("e")
+    return (
+        hash_tfidf(rows, dtype="float64")
+        .select("doc_id", entries)
+        .select("doc_id", "e.bucket", "e.weight")
     )
-    return rounded(weights.filter(F.col("weight") != 0), "weight")
 
 
 def length_encoder():

@@ -38,12 +38,19 @@ def as_rows(columns: list[str], rows) -> Counter:
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+
+
 def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """What differs between a DataFrame and a SQL result, None if nothing."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
+    given = {d[0]: str(d[1]).upper() for d in result.description}
+    types = {name: _TYPES.get(kind, kind) for name, kind in df.dtypes}
+    if any(given[name] != kind for name, kind in types.items()):
+        return f"types {types} and {given}"
     expected, got = as_rows(names, result.fetchall()), as_rows(df.columns, df.collect())
     if expected == got:
         return None
