@@ -20,12 +20,12 @@ HOT = "CAST(doc_id % 50 AS STRING)"
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 
 
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+_SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
+    return spread(df, _SPREAD_BY[name]) if name in _SPREAD_BY else df
 
 
 # --- messages -----------------------------------------------------------------------
