@@ -16,7 +16,7 @@ from litscore.plans.alerts import score_messages
 from litscore.plans.library import build_library, embed_library, resolve_library
 from litscore.registry import inputs
 from litscore.schema import ARTICLE_FIELDS
-from litscore.session import materialise, scratch_path
+from litscore.session import materialise, scratch_path, send_by_value
 from litscore.sources import (
     read_library,
     read_library_csv,
@@ -27,6 +27,8 @@ from litscore.sources import (
 )
 from litscore.streaming import score_alert_stream
 
+send_by_value(__name__)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Thresholds that part the given data; real vectors are much nearer to each other.

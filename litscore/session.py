@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +26,14 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def send_by_value(module: str) -> None:
+    """Have the functions of a module travel with the tasks that call them.
+
+    Workers then need not have this package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
