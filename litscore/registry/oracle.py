@@ -345,7 +345,7 @@ _SCORED = [
     _VECTORS,
     _NEAR,
     _KNN,
-    f"""scored AS (SELECT CAST(v.label AS BIGINT) AS message_id, k.distance, d.* FROM knn k
+    f"""scored AS (SELECT v.vec_id // 8 AS message_id, k.distance, d.* FROM knn k
     JOIN v ON v.vec_id = k.query_id LEFT JOIN (SELECT doc_id,
     CASE WHEN doc_id % 3 = 0 THEN 'https://arxiv.org/abs/2401.' || {ID}
     ELSE 'https://doi.org/' || {DOI} END AS url, {TITLE} AS title,
@@ -509,8 +509,8 @@ def oracle_sql() -> dict[str, str]:
         f" round(count(*) FILTER (WHERE {_MATCH}) / count(*) * 100, 6) AS percent,"
         f" CAST({VECTOR_THRESHOLD} AS DOUBLE) AS threshold FROM scored GROUP BY message_id",
         "digest_rows": _with(*_SCORED)
-        + "SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY distance, url, title)"
-        f" AS position, round(distance, 6) AS distance, url, title, authors, journal FROM scored WHERE {_MATCH}",
+        + "SELECT message_id, round(distance, 6) AS distance, url, title, authors, journal"
+        f" FROM scored WHERE {_MATCH}",
         "distance_rug": _with(*_SCORED)
         + "SELECT message_id, round(distance, 6) AS distance,"
         f" CAST({VECTOR_THRESHOLD} AS DOUBLE) AS threshold FROM scored",

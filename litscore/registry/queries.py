@@ -526,7 +526,7 @@ def cv_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored vectors with the text of the document of the same number.
 
-    A message is a label's vectors, so that messages have many articles.
+    Eight vectors in a row are the articles of a message.
     """
     candidates = _candidates(spark, sf_dir)
     scored = knn.knn_mean_distance(candidates, _library(spark, sf_dir), **_IDS)
@@ -539,7 +539,7 @@ def _scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE doc_id % 3 WHEN 0 THEN 'arXiv' WHEN 1 THEN 'R & D' END AS journal",
     )
     return (
-        candidates.select("vec_id", F.col("label").cast("bigint").alias("message_id"), "embedding")
+        candidates.select("vec_id", F.expr("vec_id div 8").alias("message_id"), "embedding")
         .join(scored.withColumnRenamed("query_id", "vec_id"), "vec_id")
         .join(text, "vec_id", "left")
     )
@@ -552,7 +552,7 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digest.digest_rows(_scored_vectors(spark, sf_dir), VECTOR_THRESHOLD)
-    return rounded(found.withColumn("position", F.col("position").cast("bigint")), "distance")
+    return rounded(found, "distance")
 
 
 def distance_rug(spark: SparkSession, sf_dir: str) -> DataFrame:
