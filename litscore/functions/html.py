@@ -62,17 +62,22 @@ def text_of(html: Column) -> Column:
     return unescape(F.regexp_replace(strip_noise(html), rf"<[a-zA-Z!/?]{_INSIDE}>", ""))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The value of one attribute of an opening tag, null where it is absent."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """The value of one attribute of an opening tag as it is written, null if absent."""
 
     def value(raw: Column) -> Column:
         bare = F.substring(raw, F.lit(2), F.length(raw) - 2)
-        return F.when(raw != "", unescape(F.when(raw.rlike("^[\"']"), bare).otherwise(raw)))
+        return F.when(raw != "", F.when(raw.rlike("^[\"']"), bare).otherwise(raw))
 
     pattern = rf"(?is)^<\w+(?:{_ATTRIBUTE})*?\s+{name}\s*=\s*({_VALUE})"
     return let(F.regexp_extract(tag, pattern, 1), value)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of one attribute of an opening tag, null where it is absent."""
+    return unescape(raw_attribute(tag, name))
+
+
 def has_class(tag_class: Column, name: str) -> Column:
     """Whether a class attribute holds the class ``name``."""
     return F.coalesce(F.array_contains(F.split(tag_class, r"\s+"), name), F.lit(False))

@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litscore.functions.html import (
-    attribute,
     element_bodies,
     element_body,
-    has_class,
     open_tags,
+    raw_attribute,
     strip_noise,
     text_of,
+    unescape,
 )
 from litscore.functions.text import clean_text, year_before_dash
 from litscore.operators.normalise import to_articles
@@ -94,37 +94,29 @@ def publisher_of(url: Column, hosts: dict[str, str] = PUBLISHER_HOSTS) -> Column
 
 
 def _head_tags(html: Column) -> Column:
-    """The ``meta`` and ``link`` tags of a page as ``key`` and ``content``."""
-    return F.transform(
-        open_tags(html, "meta", "link"),
-        lambda t: F.when(
-            t.rlike("(?i)^<meta"),
-            F.struct(
-                F.lit("meta").alias("tag"),
-                attribute(t, "name").alias("key"),
-                attribute(t, "content").alias("content"),
-            ),
-        ).otherwise(
-            F.struct(
-                F.lit("link").alias("tag"),
-                attribute(t, "rel").alias("key"),
-                attribute(t, "href").alias("content"),
-            )
-        ),
-    )
+    """The ``meta`` and ``link`` tags of a page as ``tag``, ``key`` and ``content``."""
+
+    def parts(t: Column) -> Column:
+        is_meta = t.rlike("(?i)^<meta")
+        key = F.when(is_meta, raw_attribute(t, "name")).otherwise(raw_attribute(t, "rel"))
+        content = F.when(is_meta, raw_attribute(t, "content")).otherwise(raw_attribute(t, "href"))
+        return F.struct(
+            F.when(is_meta, "meta").otherwise("link").alias("tag"),
+            unescape(key).alias("key"),
+            unescape(content).alias("content"),
+        )
+
+    return F.transform(open_tags(html, "meta", "link"), parts)
 
 
 def _values(rule: Rule) -> Column:
     """All values a rule finds, in page order."""
     if rule.tag in ("meta", "link"):
-
-        def same(t: Column) -> Column:
-            key = F.lower(t["key"]) if rule.ci else t["key"]
-            value = rule.value.lower() if rule.ci else rule.value
-            equal = has_class(key, value) if rule.attr == "rel" else key == value
-            return (t["tag"] == rule.tag) & F.coalesce(equal, F.lit(False))
-
-        return F.transform(F.filter("_head", same), lambda t: t["content"])
+        key, value = ("lower(t.key)", rule.value.lower()) if rule.ci else ("t.key", rule.value)
+        same = f"array_contains(split({key}, ' '), '{value}')" if rule.attr == "rel" else f"{key} = '{value}'"
+        return F.expr(
+            f"transform(filter(_head, t -> t.tag = '{rule.tag}' AND {same}), t -> t.content)"
+        )
     body = element_body(F.col("_html"), rule.tag, rule.attr, rule.value)
     return F.array(clean_text(text_of(body)))
 
