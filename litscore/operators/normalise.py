@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litscore.functions.html import text_of
 from litscore.functions.text import clean_text, first_simple, unwrap_text, year_of
 from litscore.schema import ARTICLE, ARTICLE_FIELDS
 
@@ -13,6 +12,19 @@ from litscore.schema import ARTICLE, ARTICLE_FIELDS
 ARXIV_URL = r"^https?://arxiv\.org/abs/([0-9]+\.[0-9]+)(v[0-9]+)?"
 
 
+# The elements PubMed allows inside a title or an abstract.
+_INLINE = r"</?(?:b|i|u|sub|sup|DispFormula|mml:[A-Za-z]+)(?:\s[^<>]*)?/?>"
+
+
+def _without_markup(col: Column) -> Column:
+    """Text without its inline elements.
+
+    The XML source has replaced entities already, so a ``<`` that is not one of these
+    elements is text.
+    """
+    return F.regexp_replace(col, _INLINE, "")
+
+
 def to_articles(df: DataFrame, keep: tuple[str, ...] = (), **fields: Column) -> DataFrame:
     """Project ``df`` to the article columns; those not given are null."""
     return df.select(
@@ -48,8 +60,8 @@ def normalise_pubmed(df: DataFrame) -> DataFrame:
         df,
         doi=record_id("doi"),
         pmid=record_id("pubmed"),
-        title=unwrap_text(clean_text(text_of(F.col(f"{article}.ArticleTitle")))),
-        abstract=unwrap_text(clean_text(text_of(abstract))),
+        title=unwrap_text(_without_markup(F.col(f"{article}.ArticleTitle"))),
+        abstract=unwrap_text(_without_markup(abstract)),
         journal=clean_text(F.col(f"{article}.Journal.Title")),
         year=F.expr(f"try_cast(trim({article}.Journal.JournalIssue.PubDate.Year) AS INT)"),
         authors=F.when(F.size(names) > 0, F.array_join(names, ", ")),
@@ -65,8 +77,8 @@ def normalise_arxiv(df: DataFrame) -> DataFrame:
         df,
         doi=F.concat(F.lit("10.48550/arXiv."), arxiv),
         arxiv=arxiv,
-        title=unwrap_text(clean_text(text_of(F.col("title")))),
-        abstract=unwrap_text(clean_text(text_of(F.col("summary")))),
+        title=unwrap_text(F.col("title")),
+        abstract=unwrap_text(F.col("summary")),
         journal=F.lit("arXiv"),
         year=year_of(clean_text(F.col("published"))),
         authors=F.when(F.size(names) > 0, F.array_join(names, ", ")),

@@ -41,8 +41,7 @@ MESSAGE = T.StructType(
 )
 
 # The XML fields that may hold inline markup (<i>, <sup>, ...) are read as
-# strings: the XML source then hands over their inner XML, which
-# functions.html.text_of turns into text.
+# strings: the XML source then hands over their inner XML, entities replaced.
 PUBMED = """
     MedlineCitation STRUCT<Article: STRUCT<
         ArticleTitle: STRING,

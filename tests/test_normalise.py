@@ -13,7 +13,7 @@ PUBMED = """<?xml version="1.0"?>
     <Journal><JournalIssue><PubDate><Year>2020</Year></PubDate></JournalIssue><Title>J. One</Title></Journal>
     <ArticleTitle>A <i>b</i> &amp; c
         d</ArticleTitle>
-    <Abstract><AbstractText Label="A">First &lt; <sup>2</sup> part.</AbstractText>
+    <Abstract><AbstractText Label="A">First &lt; <sup>2</sup> &lt;x&gt; &amp;amp; part.</AbstractText>
       <AbstractText Label="B">Second.</AbstractText></Abstract>
     <AuthorList><Author><LastName>Poe</LastName><ForeName>Ada</ForeName></Author>
       <Author><LastName>Li</LastName></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList>
@@ -33,7 +33,7 @@ ARXIV = """<feed xmlns="http://www.w3.org/2005/Atom"><title>query</title>
 <entry><id>http://arxiv.org/abs/2401.00001v2</id><published>2024-01-02T00:00:00Z</published>
 <title>One
   two</title><summary>  Some
-text. </summary><author><name>Ada Poe</name></author><author><name>Bo Li</name></author></entry>
+text &lt;a&gt;. </summary><author><name>Ada Poe</name></author><author><name>Bo Li</name></author></entry>
 <entry><id>http://arxiv.org/abs/math/0001001v1</id><published>soon</published><title>Old</title>
 <summary>x</summary></entry></feed>
 """
@@ -48,7 +48,7 @@ def test_pubmed(spark, tmp_path):
     found = rows(normalise.normalise_pubmed(read_source_dump(spark, "pubmed", str(tmp_path))), "pmid")
     one = found["1"]
     assert (one["doi"], one["title"], one["year"]) == ("10.1/a", "A b & c d", 2020)
-    assert one["abstract"] == "First < 2 part."
+    assert one["abstract"] == "First < 2 <x> &amp; part."
     assert (one["journal"], one["authors"]) == ("J. One", "Ada Poe,  Li,  ")
     two = found["2"]
     assert two["title"] == "Plain"
@@ -60,7 +60,7 @@ def test_arxiv(spark, tmp_path):
     found = rows(normalise.normalise_arxiv(read_source_dump(spark, "arxiv", str(tmp_path))), "title")
     one = found["One two"]
     assert (one["arxiv"], one["doi"]) == ("2401.00001", "10.48550/arXiv.2401.00001")
-    assert (one["abstract"], one["year"]) == ("Some text.", 2024)
+    assert (one["abstract"], one["year"]) == ("Some text <a>.", 2024)
     assert (one["authors"], one["journal"]) == ("Ada Poe, Bo Li", "arXiv")
     old = found["Old"]
     assert [old[c] for c in ("arxiv", "doi", "year", "authors")] == [None] * 4
