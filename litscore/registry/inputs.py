@@ -23,8 +23,13 @@ ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\"', '&quo
 _SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table for costly work on each row; one that is a single file is spread."""
+    df = scan(spark, sf_dir, name)
     return spread(df, _SPREAD_BY[name]) if name in _SPREAD_BY else df
 
 
@@ -178,8 +183,8 @@ SOURCE_ROWS = {
 
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The sources of the resolvers: parts of the documents, each with its own gaps."""
-    documents = table(spark, sf_dir, "documents")
-    labelled = documents.join(table(spark, sf_dir, "labels"), "doc_id")
+    documents = scan(spark, sf_dir, "documents")
+    labelled = documents.join(scan(spark, sf_dir, "labels"), "doc_id")
     found = {
         name: (labelled if name == "s2" else documents).filter(where).selectExpr(*columns)
         for name, (columns, _, where) in SOURCE_ROWS.items()
@@ -205,11 +210,11 @@ LIBRARY_ROWS = [
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*WANTED)
+    return scan(spark, sf_dir, "documents").selectExpr(*WANTED)
 
 
 def library_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*LIBRARY_ROWS)
+    return scan(spark, sf_dir, "documents").selectExpr(*LIBRARY_ROWS)
 
 
 # --- records of dumps ---------------------------------------------------------------
