@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from litscore.registry import inputs
-from litscore.registry.inputs import ABSTRACT, DOI, HOT, ID, TITLE, YEAR
-from litscore.registry.queries import TEXT_THRESHOLD, VECTOR_THRESHOLD
-
-assert TEXT_THRESHOLD > 0  # the stream query compares scores, whatever the threshold
+from litscore.registry.inputs import ABSTRACT, DOI, ID, TITLE, YEAR
+from litscore.registry.queries import VECTOR_THRESHOLD
 
 
 def _with(*parts: str) -> str:
@@ -526,5 +524,3 @@ def oracle_sql() -> dict[str, str]:
         "score_alert_stream": _SCORE_ALERTS,
     }
 
-
-__all__ = ["HOT", "oracle_sql"]
