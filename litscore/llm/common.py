@@ -106,22 +106,26 @@ class WordHasher:
         self.values = values
         self.powers = _powers(1 << 10)
 
-    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and start of each word, and the number of words before each text (and in all)."""
+    def _sums(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n = len(data)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
         if len(self.powers[0]) < n:
             self.powers = _powers(max(n, SLICE_BYTES))
-        inside = ~self.blank[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        first = ends[:-1]
-        first = first[first < n]
-        begins[first] = inside[first]
-        starts = np.flatnonzero(begins)
-        counts = np.searchsorted(starts, ends)
         if not len(starts):
-            return np.zeros(0, np.uint64), starts, counts
-        sums = np.add.reduceat(self.values[data] * self.powers[0][:n], starts)
-        return mix(sums * self.powers[1][starts]), starts, counts
+            return np.zeros(0, np.uint64)
+        return mix(np.add.reduceat(self.values[data] * self.powers[0][:n], starts) * self.powers[1][starts])
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word, and the number of words before each text (and in all)."""
+        return self.tokens(data, ends, ~self.blank)
+
+    def tokens(self, data: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of bytes of one kind; kind 0 separates them."""
+        if not len(data):
+            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        kind = kinds[data]
+        begins = kind != 0
+        begins[1:] &= kind[1:] != kind[:-1]
+        first = ends[:-1][ends[:-1] < len(data)]
+        begins[first] = kind[first] != 0
+        starts = np.flatnonzero(begins)
+        return self._sums(data, starts), np.searchsorted(starts, ends)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from litscore.llm.common import store, table
+from litscore.llm.common import table
 from litscore.llm.mixing import mix_sources, taken_words
 from litscore.llm.packing import pack
+from litscore.llm.quality import classify
+from litscore.llm.simple8b import crc, read_ids, write_ids
 from litscore.llm.tokens import tokenizer_path
+from litscore.session import scratch_path
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +20,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written in the binary format and read back."""
+    path = scratch_path(spark, "simple8b")
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return crc(read_ids(spark, path))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a model fitted on the labels that are not held out."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op7_packing)
+    found = (op1_mixing, op4_simple8b, op7_packing, op10_quality)
     return {f.__name__: f for f in found}
 
 
