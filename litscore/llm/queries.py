@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from litscore.llm.common import table
+from litscore.llm.common import spread, table
+from litscore.llm.html import extract
 from litscore.llm.mixing import mix_sources, taken_words
 from litscore.llm.packing import pack
 from litscore.llm.quality import classify
@@ -20,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(spread(table(spark, sf_dir, "pages")))
+
+
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in the binary format and read back."""
     path = scratch_path(spark, "simple8b")
@@ -38,7 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op4_simple8b, op7_packing, op10_quality)
+    found = (op1_mixing, op2_html, op4_simple8b, op7_packing, op10_quality)
     return {f.__name__: f for f in found}
 
 
