@@ -31,6 +31,7 @@ SHARDS = 64
 #: Documents of a source are put in this many runs, whose lengths are summed before they are ordered.
 RUNS = 1024
 _SPAN = 4096
+_TASK_SLOTS = 1 << 18
 
 
 def word_count(text: Column) -> Column:
@@ -166,7 +167,7 @@ def mix_sources(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> tuple[
         "source_no int, shard int, first bigint, n bigint, n_blocks bigint",
     )
     spans = spans.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(_SPAN)))).repartition(
-        "source_no", "shard", "at"
+        int(drawn.sum()) // _TASK_SLOTS + 1, "source_no", "shard", "at"
     )
 
     def map_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +201,7 @@ def mix_sources(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> tuple[
 
 def taken_words(documents: DataFrame, slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """``documents`` with ``taken``: the words that the mix takes from each, repeats counted."""
-    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses")).hint("merge")
     taken = (
         pieces.join(uses, ["source_no", "block"])
         .groupBy("source_no", "start")
@@ -219,7 +220,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> Da
     columns of ``docs`` stay (n_chars is counted anew); documents of which nothing is taken go.
     """
     documents, slots, pieces = mix_sources(docs, shards, seed)
-    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses")).hint("merge")
     parts = (
         pieces.join(uses, ["source_no", "block"])
         .groupBy("source_no", "start")
