@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from litscore.llm.ann import nearest
 from litscore.llm.common import spread, table
 from litscore.llm.html import extract
 from litscore.llm.mixing import mix_sources, taken_words
+from litscore.llm.neardup import near_duplicates
 from litscore.llm.packing import pack
 from litscore.llm.quality import classify
 from litscore.llm.simple8b import crc, read_ids, write_ids
@@ -26,6 +29,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spread(table(spark, sf_dir, "pages")))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings of a label."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in the binary format and read back."""
     path = scratch_path(spark, "simple8b")
@@ -38,13 +46,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all embeddings for every row whose vec_id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by a model fitted on the labels that are not held out."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op4_simple8b, op7_packing, op10_quality)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op7_packing, op8_ann, op10_quality)
     return {f.__name__: f for f in found}
 
 
