@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -11,6 +12,8 @@ from litscore.worker import worker_state
 #: Distinct pieces whose ids a worker keeps; beyond that it starts anew.
 CACHE_PIECES = 1_000_000
 # A space before anything but white space always starts a new piece, for both tokenizers used here.
+#: Pieces encoded as one text.
+_JOINED = 128
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -20,6 +23,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbered(dict):
+    """Numbers for pieces in order of their first use; ``new`` collects the unseen."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class CachedTokenizer:
     """Ids of texts, equal to those of the tokenizers library for the whole text.
 
@@ -34,14 +50,18 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a second one cuts at its special token, so that many pieces are encoded as one text
+        self.joined = Tokenizer.from_file(path)
+        self.joint = "<|endoftext|>"
+        self.joint_id = self.joined.token_to_id(self.joint)
         self.drop_space = drop_space
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbered()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.ends = np.zeros(1 << 16, np.int32)
+        self.used = self.known = 0
 
     @classmethod
     def of_worker(cls, path: str, drop_space: bool = False) -> CachedTokenizer:
@@ -57,37 +77,52 @@ class CachedTokenizer:
         cut = _CUT.split(text)
         return cut[:1] + [" " + p for p in cut[1:]]
 
-    def _learn(self, new: list[str]) -> None:
-        at = 0
-        while at < len(new):
-            some = new[at : at + 8192]
-            at += len(some)
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total, n = int(sizes.sum()), len(self.index)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(some) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-            self.ends[n + 1 : n + 1 + len(some)] = self.used + sizes.cumsum()
-            self.used += total
-            self.index.update(zip(some, range(n, n + len(some))))
+    def _learn(self) -> None:
+        """Encode the pieces that have a number and no ids yet."""
+        new, self.index.new = self.index.new, []
+        alone = [i for i, p in enumerate(new) if "<|" in p]
+        own = {i: self.tokenizer.encode(new[i], add_special_tokens=False).ids for i in alone}
+        for i in alone:
+            new[i] = ""
+        texts = [self.joint.join(new[i : i + _JOINED]) for i in range(0, len(new), _JOINED)]
+        found = []
+        for text, i in zip(self.joined.encode_batch_fast(texts, add_special_tokens=False), range(0, len(new), _JOINED)):
+            found += text.ids
+            if i + _JOINED < len(new):
+                found.append(self.joint_id)
+        ids = np.array(found, np.uint32)
+        marks = np.append(np.flatnonzero(ids == self.joint_id), len(ids))
+        sizes = np.diff(marks, prepend=-1) - 1
+        ids = ids[ids != self.joint_id]
+        if own:  # pieces that look like special tokens
+            starts = sizes.cumsum() - sizes
+            cut = [ids[a : a + n] for a, n in zip(starts, sizes)]
+            for i, x in own.items():
+                cut[i] = np.array(x, np.uint32)
+            ids, sizes = np.concatenate(cut), np.array([len(c) for c in cut])
+        n, total = self.known, len(ids)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(new) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + total] = ids
+        self.ends[n + 1 : n + 1 + len(new)] = self.used + sizes.cumsum()
+        self.used, self.known = self.used + total, n + len(new)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of ids of each."""
-        if len(self.index) > CACHE_PIECES:
+        if self.known > CACHE_PIECES:
             self._clear()
         cut = [self.pieces(t) for t in texts]
-        index = self.index
-        new = {p for own in cut for p in own if p not in index}
-        if new:
-            self._learn(sorted(new))
-        n = sum(map(len, cut))
-        which = np.fromiter((index[p] for own in cut for p in own), np.int64, n)
-        begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int32, int(sizes.sum()))
+        if self.index.new:
+            self._learn()
+        begin = self.ends[which]
+        size = self.ends[which + 1] - begin
         total = size.cumsum()
-        ids = self.ids[np.repeat(begin - total + size, size) + np.arange(total[-1] if n else 0)]
-        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        done = np.concatenate([[0], total])[last]
-        return ids, np.diff(np.concatenate([[0], done]))
+        n = int(total[-1]) if len(total) else 0
+        at = np.repeat(begin - total.astype(np.int32) + size, size)
+        at += np.arange(n, dtype=np.int32)
+        done = np.concatenate([[0], total])[np.concatenate([[0], sizes.cumsum()])]
+        return self.ids[at], np.diff(done)
