@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from litscore.llm.ann import nearest
 from litscore.llm.common import spread, table
+from litscore.llm.counts import count_tokens
 from litscore.llm.html import extract
 from litscore.llm.mixing import mix_sources, taken_words
 from litscore.llm.neardup import near_duplicates
@@ -51,13 +52,18 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of unigram pieces of every document and the score of the best path."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by a model fitted on the labels that are not held out."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op7_packing, op8_ann, op10_quality)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op7_packing, op8_ann, op9_counts, op10_quality)
     return {f.__name__: f for f in found}
 
 
