@@ -129,3 +129,21 @@ class WordHasher:
         begins[first] = kind[first] != 0
         starts = np.flatnonzero(begins)
         return self._sums(data, starts), np.searchsorted(starts, ends)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group, from batches sorted so that groups are contiguous."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        change = np.zeros(max(len(now) - 1, 0), bool)
+        for n in names:
+            c = now.column(n).to_numpy(zero_copy_only=False)
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for i, j in zip(cuts, cuts[1:]):
+            yield now.slice(i, j - i)
+        held = now.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held

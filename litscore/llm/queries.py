@@ -15,6 +15,7 @@ from litscore.llm.neardup import near_duplicates
 from litscore.llm.packing import pack
 from litscore.llm.quality import classify
 from litscore.llm.simple8b import crc, read_ids, write_ids
+from litscore.llm.suffix import digest, remove_repeats
 from litscore.llm.tokens import tokenizer_path
 from litscore.session import scratch_path
 
@@ -42,6 +43,11 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc(read_ids(spark, path))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without passages of 50 bytes that an earlier one has."""
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -63,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op7_packing, op8_ann, op9_counts, op10_quality)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op7_packing, op8_ann, op9_counts, op10_quality)
     return {f.__name__: f for f in found}
 
 
