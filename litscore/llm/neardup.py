@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import spread, store
+from litscore.llm.common import spread, store, whole_groups
 from litscore.llm.components import components, forest_of
 
 COSINE = 0.93
@@ -158,21 +158,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket_rows: int
                 [pa.array(reps[some]), pa.array(head[some]), pa.array(links[some].astype(np.int64))], names=["rep", "head", "links"]
             )
 
-        held, names = None, [*at, "low", "high"]
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([held, now]) if held is not None else now
-            change = np.zeros(max(len(now) - 1, 0), bool)
-            for n in names:
-                c = now.column(n).to_numpy(zero_copy_only=False)
-                change |= c[1:] != c[:-1]
-            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-            for i, j in zip(cuts, cuts[1:]):
-                if j - i > 1 and (out := cell(now.slice(i, j - i))) is not None:
-                    yield out
-            held = now.slice(cuts[-1])
-        if held is not None and (out := cell(held)) is not None:
-            yield out
+        for rows in whole_groups(batches, names):
+            if (out := cell(rows)) is not None:
+                yield out
 
     names = [*at, "low", "high"]
     spread_cells = cells.repartition(*names).sortWithinPartitions(*names)

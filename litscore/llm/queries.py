@@ -10,6 +10,7 @@ from litscore.llm.ann import nearest
 from litscore.llm.common import spread, table
 from litscore.llm.counts import count_tokens
 from litscore.llm.html import extract
+from litscore.llm.jaccard import similar_groups
 from litscore.llm.mixing import mix_sources, taken_words
 from litscore.llm.neardup import near_duplicates
 from litscore.llm.packing import pack
@@ -48,6 +49,11 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked by similar sets of word shingles."""
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -69,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op7_packing, op8_ann, op9_counts, op10_quality)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality)
     return {f.__name__: f for f in found}
 
 
