@@ -1,16 +1,66 @@
-"""A corpus pipeline over ``documents``; each stage is stored and read again by the next."""
+"""A corpus pipeline over ``documents``; each stage is stored and read again by the next.
+
+Stages take (spark, docs, sf_dir) and return the columns of ``documents`` (doc_id, text,
+lang, source, n_chars and any others), but for the last, which returns packed pieces. An
+empty table gives an empty result; null and empty texts are handled as the operators say.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litscore.llm.common import store, table
+from litscore.llm.jaccard import similar_groups
 from litscore.llm.mixing import mixed_documents
 from litscore.llm.packing import pack
+from litscore.llm.quality import THRESHOLD, fit_quality, score_quality
+from litscore.llm.suffix import remove_repeats
 from litscore.llm.tokens import tokenizer_path
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    weights = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, weights).filter(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of smallest doc_id.
+
+    Documents without doc_id or without words are in no group and stay.
+    """
+    groups = similar_groups(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has.
+
+    A character cut in two goes whole. Documents of which nothing is left go; n_chars is
+    counted anew. Documents that lose nothing stay as they are.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "kept"])
+
+    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "doc_id bigint, kept string")
+    # rows of one doc_id are told apart by their order; a document without doc_id loses nothing
+    joined = docs.join(cut.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    text = F.coalesce("kept", "text")
+    kept = joined.filter(F.col("kept").isNull() | (F.col("kept") != ""))
+    return kept.withColumn("text", text).withColumn(
+        "n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    ).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the words that the mix by source weights takes from it."""
     return mixed_documents(docs)
 
@@ -20,9 +70,15 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("mixing", mix_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("jaccard", jaccard_stage),
+    ("suffix", suffix_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-#: The stages train a model, tokenise and compare; SQL cannot express them.
+#: The stages fit a model, hash, sort suffixes and tokenise; SQL cannot express them.
 ORACLE_SQL = None
 
 
