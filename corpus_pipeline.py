@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litscore.llm.common import store, table
+from litscore.llm.common import free_name, store, table
 from litscore.llm.jaccard import similar_groups
 from litscore.llm.mixing import mixed_documents
 from litscore.llm.packing import pack
@@ -25,7 +25,8 @@ from litscore.llm.tokens import tokenizer_path
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     weights = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, weights).filter(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    score = free_name(docs, "quality_score")
+    return score_quality(docs, weights, score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +49,27 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "kept"])
-
-    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "doc_id bigint, kept string")
-    # rows of one doc_id are told apart by their order; a document without doc_id loses nothing
-    joined = docs.join(cut.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("kept", "text")
-    kept = joined.filter(F.col("kept").isNull() | (F.col("kept") != ""))
-    return kept.withColumn("text", text).withColumn(
-        "n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
-    ).select(*docs.columns)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(texts, pa.string())], names=["doc_id", "text_hash", "kept"]
+            )
+
+    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "text_hash", "kept").mapInArrow(
+        decode, "doc_id bigint, text_hash bigint, kept string"
+    )
+    # rows of one doc_id lose bytes alike if they are equal; else each keeps its own text's rest
+    kept, key, whole = free_name(docs, "kept"), free_name(docs, "kept_id"), free_name(docs, "kept_text")
+    joined = docs.join(
+        cut.select(F.col("doc_id").alias(key), F.col("kept").alias(kept), F.col("text_hash").alias(whole)).distinct().hint("merge"),
+        (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(whole)),
+        "left",
+    )
+    lost = F.col(kept).isNotNull()
+    return (
+        joined.filter(~lost | (F.col(kept) != ""))
+        .withColumn("n_chars", F.when(lost, F.length(kept).cast("bigint")).otherwise(F.col("n_chars")))
+        .withColumn("text", F.coalesce(kept, "text"))
+        .select(*docs.columns)
+    )
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table stored as fewer pieces than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litscore.llm.common import store
+from litscore.llm.common import free_name, store
 
 #: Words of a document: runs of characters other than space and 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,8 +61,8 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MAX_REPEA
     return out
 
 
-def draw_slots(due: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard, shards in rows.
+def draw_slots(due: np.ndarray, limit: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Slots of each source in each shard, shards in rows; never more than ``limit`` in all.
 
     Each shard takes what is due up to its end and not drawn yet: the whole numbers as they
     are, the remaining slots by a multinomial draw over the fractions.
@@ -75,6 +75,7 @@ def draw_slots(due: np.ndarray, shards: int, seed: int) -> np.ndarray:
         n = int(round(rest.sum()))
         if n and rest.sum() > 0:
             whole += np.random.default_rng([seed, shard]).multinomial(n, rest / rest.sum())
+        whole = np.minimum(whole, limit - drawn)
         rows.append(whole)
         drawn += whole
     return np.array(rows).reshape(shards, len(due))
@@ -148,7 +149,8 @@ def mix_sources(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> tuple[
     words = [min(BLOCK_WORDS, max(1, sizes[s] // 256)) for s in names]
     blocks = [-(-sizes[s] // w) for s, w in zip(names, words)]
     slots_due = np.array([due[s] * b / sizes[s] if sizes[s] else 0.0 for s, b in zip(names, blocks)])
-    drawn = draw_slots(slots_due, shards, seed) if names else np.zeros((shards, 0), np.int64)
+    limit = MAX_REPEATS * np.array(blocks, np.int64)
+    drawn = draw_slots(slots_due, limit, shards, seed) if names else np.zeros((shards, 0), np.int64)
     first = np.vstack([np.zeros((1, len(names)), np.int64), drawn.cumsum(0)])
 
     sources = spark.createDataFrame(
@@ -226,17 +228,18 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> Da
         .groupBy("source_no", "start")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words", "uses"))).alias("_parts"))
     )
+    own = {k: free_name(docs, k) for k in ("_size", "_copy", "_d", "_s", "_n", "_c", "_parts")}
+    copy = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("start"))
     keyed = documents.filter("size > 0").join(parts, ["source_no", "start"]).select(
-        "doc_id", "source", F.col("size"), "_parts",
-        F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("start")).alias("_copy"),
-    )
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
+        F.col("doc_id").alias(own["_d"]), F.col("source").alias(own["_s"]), F.col("size").alias(own["_n"]),
+        copy.alias(own["_c"]), F.col("_parts").alias(own["_parts"]),
     )
+    rows = docs.withColumn(own["_size"], word_count(F.col("text")))
+    rows = rows.withColumn(own["_copy"], F.row_number().over(Window.partitionBy("doc_id", "source", own["_size"]).orderBy("text")))
     joined = rows.join(
-        keyed.withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_n", "_copy": "_c"}),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("_size") == F.col("_n")) & (F.col("_copy") == F.col("_c")),
+        keyed,
+        F.col("doc_id").eqNullSafe(F.col(own["_d"])) & F.col("source").eqNullSafe(F.col(own["_s"]))
+        & (F.col(own["_size"]) == F.col(own["_n"])) & (F.col(own["_copy"]) == F.col(own["_c"])),
     )
 
     @F.pandas_udf("string")
@@ -261,6 +264,6 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> Da
         return pd.Series(out, dtype=object)
 
     columns = [c for c in docs.columns]
-    return joined.withColumn("text", cut("text", "_parts")).withColumn(
+    return joined.withColumn("text", cut("text", own["_parts"])).withColumn(
         "n_chars", F.length("text").cast("bigint")
     ).select(*columns)

@@ -119,10 +119,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     )
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, 0 to 1. A null or empty text gets the bias alone."""
+def score_quality(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score, 0 to 1, as ``name``. A null or empty text gets the bias alone."""
     kept = weights.astype(np.float32)
-    schema = docs.select("*", F.lit(0.0).alias("quality_score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 dot = np.bincount(text, w[place] * value, last - first) + w[-1]
                 score = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

@@ -25,9 +25,10 @@ Parts = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, doc_id, text) and the number of buckets."""
+    """(bucket, doc_id, text, text_hash) and the number of buckets."""
     n = max(1, -(-docs.count() // BUCKET_DOCS))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text"), n
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket")
+    return docs.select(bucket, "doc_id", "text", F.xxhash64("text").alias("text_hash")), n
 
 
 def narrow(hashes: np.ndarray, keys: int) -> np.ndarray:

@@ -279,9 +279,9 @@ def _removed(own: Segments, data: np.ndarray, ends: np.ndarray, doc: np.ndarray,
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept), one row per row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept), one row per row of ``docs`` (doc_id, text).
 
-    ``kept`` holds the UTF-8 bytes that stay. A null or empty text has no bytes, one of fewer
+    ``kept`` holds the UTF-8 bytes that stay, ``text_hash`` is xxhash64 of the text. A null or empty text has no bytes, one of fewer
     than LENGTH loses none. Rows of equal doc_id do not remove each other's bytes; rows
     without doc_id neither lose nor remove any. Other columns are ignored.
     """
@@ -318,13 +318,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             at = (ends - removed[ends]).tolist()
             columns["kept"] += [raw[a:b] for a, b in zip(at, at[1:])]
         number = lambda k: pa.array(np.concatenate(columns[k]) if columns[k] else [], pa.int64())
-        return pa.table([ids, number("n_bytes"), number("n_removed"), number("n_spans"), pa.array(columns["kept"], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        hashes = texts.column("text_hash").combine_chunks()
+        return pa.table([ids, hashes, number("n_bytes"), number("n_removed"), number("n_spans"), pa.array(columns["kept"], pa.binary())], names=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
-        apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        apply, "doc_id bigint, text_hash bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """``kept`` replaced by its sha256 in lower-case hexadecimal."""
-    return removed.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return removed.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept", "text_hash")
