@@ -116,9 +116,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
             asked_ids = queries["vec_id"].to_numpy()
             place = np.minimum(np.searchsorted(ids, asked_ids), len(ids) - 1)
             skip = np.where(ids[place] == asked_ids, place, -1)
-            for query_id, (found, scores) in zip(asked_ids, index.search(unit(queries["embedding"]), k, skip)):
+            asked_units = unit(queries["embedding"])
+            for query_id, query, (found, scores) in zip(asked_ids, asked_units, index.search(asked_units, k, skip)):
                 other = ids[found] != query_id
                 found, scores = found[other], scores[other]
+                if len(scores) > k:
+                    near = scores >= np.partition(scores, -k)[-k] - 1e-9
+                    found = found[near]
+                # sums of each row alone, so that equal vectors get equal scores
+                scores = (index.vectors[found] * query).sum(1)
                 best = np.lexsort((ids[found], -scores))[:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found[best]], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

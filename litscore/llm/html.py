@@ -35,6 +35,7 @@ BOILERPLATE = frozenset(
     " template menu dialog select option button input object svg canvas audio video map".split()
 )
 ROOTS = frozenset(("article", "main"))
+HEADINGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # Whole words of class and id that mark what is not the article.
 BOILERPLATE_WORDS = frozenset(
@@ -50,27 +51,33 @@ _ENDS_P = frozenset(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>"
+    r"|</?[a-zA-Z][^>]*>",  # a tag with an open quotation mark
     re.S,
 )
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>\"']*)")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Elements nested deeper are not told apart in wrappers; their text counts all the same.
+DEEPEST = 100
 #: Partial wrappers of a host are inferred from this many shares of its streams, then merged.
 SHARES = 32
 #: Wrappers are sent to all executors up to this size; beyond it they are joined by host.
 BROADCAST_BYTES = 32 << 20
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
+def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is none of the article's; an article's own header is."""
     if name in BOILERPLATE:
-        return True
+        return not (name == "header" and in_article)
     for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         words = _WORDS.findall((a or b or c).lower())
         key = key.lower()
         if key == "role" and BOILERPLATE_ROLES.intersection(words):
             return True
-        if key in ("class", "id") and BOILERPLATE_WORDS.intersection(words):
-            return True
+        if key in ("class", "id"):
+            if BOILERPLATE_WORDS.intersection(words) or "header" in words and name not in HEADINGS and not in_article:
+                return True
     return False
 
 
@@ -93,13 +100,16 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if found.start() > at:
             yield "text", page[at : found.start()], ""
         at = found.end()
-        name = found.group(2)
+        name, whole = found.group(2), found.group()
         if name is None:
-            if found.group().startswith("<![CDATA["):
-                yield "text", found.group()[9:].removesuffix("]]>").replace("&", "&amp;"), ""
-            continue
+            if whole.startswith("<![CDATA["):
+                yield "text", whole[9:].removesuffix("]]>").replace("&", "&amp;"), ""
+                continue
+            if whole[1] in "!?":
+                continue
+            name = _NAME.match(whole).group(1)
         name = name.lower()
-        if found.group(1):
+        if whole[1] == "/":
             yield "end", name, ""
             continue
         yield "start", name, found.group(3) or ""
@@ -127,7 +137,7 @@ class Walk:
         if name in CLOSED_BY:
             self._close(name, CLOSED_BY[name], {"ul", "ol", "dl", "table", "div", "article", "section", "nav"})
         if name not in VOID:
-            self.open.append((name, _key(name, attributes), _is_boilerplate(name, attributes)))
+            self.open.append((name, _key(name, attributes), _is_boilerplate(name, attributes, any(o[0] == "article" for o in self.open))))
         return name not in INLINE
 
     def _close(self, name: str, which: set[str], limits: set[str]) -> None:
@@ -163,7 +173,7 @@ def stream(page: str) -> list[str]:
                 out.append("#")
             continue
         walk.start(what, attributes) if kind == "start" else walk.end(what)
-        path = walk.path()
+        path = walk.path()[:DEEPEST]
         same = 0
         while same < len(path) and same < len(depth) and path[same] == depth[same]:
             same += 1

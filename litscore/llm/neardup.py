@@ -30,9 +30,12 @@ BUCKET_ROWS = 512
 
 
 def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of the unit vectors and a matrix whose columns give one bit each, by ITQ."""
+    """Centre of the unit vectors and a matrix whose columns give one bit each, by ITQ.
+
+    The mean of a small sample is drawn towards zero, so as not to lie between its vectors.
+    """
     dims = sample.shape[1]
-    mean = sample.mean(0) if len(sample) else np.zeros(dims)
+    mean = sample.sum(0) / (len(sample) + 1000)
     centred = sample - mean
     _, _, axes = np.linalg.svd(centred.T @ centred) if len(sample) else (0, 0, np.eye(dims))
     rng, out = np.random.default_rng([seed, dims]), []
