@@ -17,20 +17,15 @@ BROADCAST_BYTES = 64 << 20
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether a table of strings and numbers is small enough to be broadcast.
-
-    Counts no further than the limit.
-    """
+    """Whether a table of strings and numbers is small enough to be broadcast."""
     size = reduce(
         lambda a, b: a + b,
         (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
         F.lit(0).cast("bigint"),
     )
-    seen = (
-        df.limit(BROADCAST_ROWS + 1)
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
-        .first()
-    )
+    seen = df.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
+    ).first()
     return seen["rows"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES
 
 

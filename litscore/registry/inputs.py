@@ -217,6 +217,21 @@ def library_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir, "documents").selectExpr(*LIBRARY_ROWS)
 
 
+# All documents as articles, with every mix of missing title, abstract and journal.
+GAPPED = [
+    "doc_id",
+    f"{DOI} AS doi",
+    f"'2401.' || {ID} AS arxiv",
+    f"CASE WHEN doc_id % 5 <> 0 THEN {TITLE} END AS title",
+    f"CASE WHEN doc_id % 7 <> 0 THEN {ABSTRACT} END AS abstract",
+    "CASE doc_id % 4 WHEN 0 THEN 'arXiv' WHEN 1 THEN 'The Journal' WHEN 2 THEN 'ARXIV' END AS journal",
+]
+
+
+def gapped_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, sf_dir, "documents").selectExpr(*GAPPED)
+
+
 # --- records of dumps ---------------------------------------------------------------
 
 YEAR = "CAST(1990 + doc_id % 30 AS STRING)"

@@ -82,6 +82,7 @@ _SOURCES = [
 _WANTED = f"wanted AS (SELECT DISTINCT {DOI} AS id FROM documents)"
 _FIELDS = "doi, title, journal, year"
 _COMPLETE = "title IS NOT NULL AND abstract IS NOT NULL"
+_GAPPED = _with(f"gapped AS ({_select(inputs.GAPPED, 'documents')})")
 
 
 def _tiers(key: str, prefixes: bool = True, fields: str = _FIELDS) -> str:
@@ -329,6 +330,10 @@ _NEAR = f"""near AS (SELECT q.vec_id AS query_id, l.vec_id AS library_id,
     list_cosine_distance(q.e, l.e) AS distance,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(q.e, l.e), l.vec_id) AS n
     FROM v q JOIN v l ON q.label >= 5 AND l.label < 5)"""
+_TIES = """r AS (SELECT vec_id + c * 10000000 AS vec_id, e FROM v, (SELECT unnest(range(3)) AS c) WHERE label < 5),
+    near AS (SELECT q.vec_id AS query_id, r.vec_id AS library_id, list_cosine_distance(q.e, r.e) AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(q.e, r.e), 12), r.vec_id) AS n
+    FROM v q JOIN r ON q.label >= 5)"""
 _KNN = "knn AS (SELECT query_id, avg(distance) AS distance FROM near WHERE n <= 10 GROUP BY query_id)"
 _FOLDS = """folds AS (SELECT *, CAST(ntile(5) OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '42'), vec_id)
     - 1 AS INTEGER) AS cv_fold FROM v)"""
@@ -445,8 +450,8 @@ def oracle_sql() -> dict[str, str]:
         " round(sum(distance), 6) AS distance FROM scored GROUP BY ALL",
         "filter_since": f"SELECT * FROM ({dated}) WHERE created >= '1998-06-15'",
         "filter_after": f"SELECT * FROM ({dated}) WHERE created > '1998-06-15'",
-        "require_title": _with(*_SOURCES) + "SELECT doi, title FROM src_crossref WHERE title IS NOT NULL",
-        "require_complete": _with(*_SOURCES) + f"SELECT doi, title FROM src_s2 WHERE {_COMPLETE}",
+        "require_title": _GAPPED + "SELECT doc_id, title FROM gapped WHERE title IS NOT NULL",
+        "require_complete": _GAPPED + f"SELECT doc_id, title FROM gapped WHERE {_COMPLETE}",
         "match_filter": knn_rows + f" WHERE {_MATCH}".replace("distance", "knn.distance"),
         "split_by_id_kind": _with(_ROWS)
         + "SELECT row_id, 'doi' AS kind FROM rows_ WHERE doi IS NOT NULL UNION ALL"
@@ -476,10 +481,8 @@ def oracle_sql() -> dict[str, str]:
         "unwrap_text": f"SELECT doc_id, trim({padded}, ' ' || chr(10)) AS cleaned, {_unwrapped(padded)} AS unwrapped FROM documents",
         "nested_json": "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k, CAST(year(ts) AS INTEGER) AS year,"
         " CAST(year(ts) AS INTEGER) AS year_dash, CAST(NULL AS INTEGER) AS no_year FROM events",
-        "article_url": _with(*_SOURCES)
-        + "SELECT doi, 'https://arxiv.org/abs/' || arxiv AS url FROM src_arxiv UNION ALL"
-        " SELECT doi, 'https://doi.org/' || doi FROM src_crossref UNION ALL"
-        " SELECT doi, 'https://doi.org/' || doi FROM src_elsevier",
+        "article_url": _GAPPED + "SELECT doc_id, CASE WHEN journal = 'arXiv' THEN 'https://arxiv.org/abs/' || arxiv"
+        " ELSE 'https://doi.org/' || doi END AS url FROM gapped",
         "resolve_waterfall": _with(*_first()) + "SELECT * FROM found",
         "resolve_waterfall_exact": _with(*_first("exact")) + "SELECT * FROM found",
         "resolve_waterfall_nature": _with(*_first(prefixes=False)) + "SELECT * FROM found",
@@ -498,6 +501,11 @@ def oracle_sql() -> dict[str, str]:
         f" FROM (SELECT doc_id, {_INPUT} AS t FROM documents)",
         "knn_mean_distance": knn_rows,
         "knn_grid": knn_rows,
+        **dict.fromkeys(
+            ("knn_ties", "knn_ties_grid"),
+            _with(_VECTORS, _TIES)
+            + "SELECT query_id, library_id, round(distance, 6) AS distance FROM near WHERE n <= 10",
+        ),
         "knn_neighbours": knn + "SELECT query_id, library_id, round(distance, 6) AS distance FROM near WHERE n <= 10",
         "kfold": _with(_VECTORS, _FOLDS) + "SELECT vec_id, cv_fold FROM folds",
         "cv_distances": _with(_VECTORS, _FOLDS, _CV)

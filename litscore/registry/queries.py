@@ -266,12 +266,14 @@ JSON_RECORDS = {
 
 
 def digest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two batches, one of them written twice."""
+    """Rows of three batches, one of them written twice, one written and then emptied."""
     out = scratch_path(spark, "digest")
-    scored = _scored_vectors(spark, sf_dir)
+    scored = materialise(_scored_vectors(spark, sf_dir).select("message_id", "distance"), "scored")
     for batch, rows in (("a", scored.filter("message_id % 2 = 0")), ("b", scored.filter("message_id % 2 = 1"))):
-        write_digest(rows.select("message_id", "distance"), out, batch)
-    write_digest(scored.filter("message_id % 2 = 1").select("message_id", "distance"), out, "b")
+        write_digest(rows, out, batch)
+    write_digest(scored.filter("message_id % 2 = 1"), out, "b")
+    write_digest(scored, out, "c")
+    write_digest(scored.filter("message_id < 0"), out, "c")
     stored = spark.read.schema("message_id BIGINT, distance DOUBLE, batch STRING").parquet(out)
     return stored.groupBy("batch").agg(
         F.count("*").alias("n"), F.round(F.sum("distance"), 6).alias("distance")
@@ -295,11 +297,11 @@ def _since(inclusive: bool) -> Query:
 
 
 def require_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.require_title(inputs.sources(spark, sf_dir)["crossref"]).select("doi", "title")
+    return filters.require_title(inputs.gapped_articles(spark, sf_dir)).select("doc_id", "title")
 
 
 def require_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.require_complete(inputs.sources(spark, sf_dir)["s2"]).select("doi", "title")
+    return filters.require_complete(inputs.gapped_articles(spark, sf_dir)).select("doc_id", "title")
 
 
 def split_by_id_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,11 +373,7 @@ def unwrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = inputs.sources(spark, sf_dir)
-    rows = found["arxiv"].unionByName(found["crossref"]).unionByName(
-        found["elsevier"].withColumn("journal", F.lit(None).cast("string"))
-    )
-    return rows.select("doi", text_functions.article_url().alias("url"))
+    return inputs.gapped_articles(spark, sf_dir).select("doc_id", text_functions.article_url().alias("url"))
 
 
 # --- resolution ---------------------------------------------------------------------
@@ -504,6 +502,18 @@ def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(near, "distance")
 
 
+def _knn_ties(blocks: tuple[int, int] | None) -> Query:
+    """Neighbours in a library that holds every vector three times, under other ids."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        copy = F.explode(F.array(*(F.lit(n * 10_000_000) for n in range(3))))
+        library = _library(spark, sf_dir).select("vec_id", "embedding", copy.alias("copy"))
+        library = library.select((F.col("vec_id") + F.col("copy")).alias("vec_id"), "embedding")
+        return rounded(knn.knn_neighbours(_candidates(spark, sf_dir), library, blocks=blocks, **_IDS), "distance")
+
+    return run
+
+
 def match_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = knn.knn_mean_distance(_candidates(spark, sf_dir), _library(spark, sf_dir), **_IDS)
     return rounded(filters.match_filter(scored, VECTOR_THRESHOLD), "distance")
@@ -565,7 +575,7 @@ def digest_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves of the out-of-fold distances of all vectors."""
-    scores = folds.cv_scores(inputs.table(spark, sf_dir, "embeddings"), id_col="vec_id")
+    scores = materialise(folds.cv_scores(inputs.table(spark, sf_dir, "embeddings"), id_col="vec_id"), "scores")
     return rounded(digest.fold_density(scores), "x", "density")
 
 
@@ -680,6 +690,8 @@ def queries() -> dict[str, Query]:
         "knn_mean_distance": knn_mean_distance,
         "knn_grid": knn_grid,
         "knn_neighbours": knn_neighbours,
+        "knn_ties": _knn_ties(None),
+        "knn_ties_grid": _knn_ties((2, 3)),
         "kfold": kfold,
         "cv_distances": cv_distances,
         "match_summary": match_summary,
