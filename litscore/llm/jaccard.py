@@ -210,31 +210,43 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     heads = store(able.groupBy(*marks).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "jaccard-heads")
     copies = able.select("doc_id", *marks).join(heads.filter("n > 1").hint("merge"), marks).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     twins = sets.filter(F.col("twin").isNotNull()).select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    able = able.join(heads.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    leads = able.select("doc_id", "n_shingles", "keys").join(
+        heads.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id", "left_semi"
+    )
 
     # similar sizes differ by less than a third, so they share one of two neighbouring bands
     band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / SHARE)) + 1e-9).cast("int")
-    bands = F.explode(F.array(band, band + 1)).alias("band")
-    keyed = able.select("doc_id", bands, "keys").select("doc_id", "band", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key", "band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    ties = keyed.join(least.hint("merge"), ["key", "band"]).filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    bands = F.array(band, band + 1)
+    keyed = leads.select("doc_id", F.explode(bands).alias("band"), "keys").select(
+        "doc_id", "band", F.explode("keys").alias("key")
+    ).select("doc_id", F.xxhash64("key", "band").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    ties = keyed.join(least.hint("merge"), "key").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     cells = components(store(ties.distinct(), "jaccard-ties"), "jaccard-cells")
 
-    placed = able.select("doc_id", "n_shingles", "own").join(
-        cells.withColumnsRenamed({"node": "doc_id", "component": "cell"}).hint("merge"), "doc_id"
+    # where each set goes, as ids alone: small cells whole, others by band, crowded bands by pairs of blocks
+    cells = store(cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")), "jaccard-cells")
+    whole = cells.groupBy("cell").agg((F.count("*") <= CELL_DOCS).alias("whole"))
+    members = (
+        able.select("doc_id", "n_shingles")
+        .join(cells.hint("merge"), "doc_id")
+        .join(whole.hint("merge"), "cell")
+        .select("doc_id", "cell", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(bands)).alias("band"))
     )
-    placed = placed.select("doc_id", "n_shingles", "own", "cell", bands)
-    crowds = placed.groupBy("cell", "band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = store(members, "jaccard-members")
+    crowds = members.groupBy("cell", "band").agg(F.count("*").alias("n")).filter("n > 1")
     crowds = crowds.select("cell", "band", F.when(F.col("n") > CELL_DOCS, F.ceil(F.col("n") * 2 / CELL_DOCS)).otherwise(1).cast("int").alias("blocks"))
     names = ["cell", "band", "low", "high"]
-    paired = (
-        placed.join(crowds.hint("merge"), ["cell", "band"])
+    places = (
+        members.join(crowds.hint("merge"), ["cell", "band"])
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
-        .select(*names, "block", "doc_id", "n_shingles", "own")
+        .select("doc_id", *names, "block")
     )
+    places = store(places, "jaccard-places")
+    paired = able.select("doc_id", "n_shingles", "own").join(places.hint("merge"), "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, names):
