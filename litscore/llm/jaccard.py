@@ -9,8 +9,9 @@ document alone first. Documents tied by such keys within bands of size form cell
 A cell is joined by signature trees. Leaves are documents in order of size; a node holds the
 OR of the bitmaps of its documents and the range of their sizes. Two trees are traversed
 together, and a pair of nodes is left as soon as the largest possible overlap, from sizes and
-common bits, is too small, or all is known to be one group. Pairs of leaves are compared by
-their whole sets.
+common bits, is too small, or all is known to be one group. This is done twice: with the
+bitmaps alone, a fraction of the size of the sets, to part what may be similar from what
+cannot be; then within what is left, where pairs of leaves are compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -94,22 +95,43 @@ class Tree:
         return range(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][0])))
 
 
-def tree_join(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None = None, share: int = SHARE) -> np.ndarray:
-    """Smallest index of the group of each document; ``sets`` are ascending, in order of ``sizes``.
+def bitmap(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Bits at the hashes modulo ``width``, a power of two of at least 64, as 64-bit words."""
+    out = np.zeros(width // 64, np.uint64)
+    bits = hashes % np.uint64(width)
+    np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+    return out
 
-    ``sizes`` are those of the whole sets, of which ``sets`` may lack what no other document
-    has. With ``side`` given only pairs across sides are compared.
+
+def fitting_width(n: int) -> int:
+    """Bits for a set of ``n``, so that a quarter of them or less is taken."""
+    return 1 << min(max((4 * n - 1).bit_length(), 8), 18)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap reduced to ``width``: equal to that made with it at once."""
+    return np.bitwise_or.reduce(words.reshape(-1, width // 64), axis=0)
+
+
+def tree_join(
+    sizes: np.ndarray,
+    counts: np.ndarray,
+    bitmaps: list[np.ndarray],
+    sets: list[np.ndarray] | None = None,
+    side: np.ndarray | None = None,
+    share: int = SHARE,
+) -> np.ndarray:
+    """Smallest index of the group of each document; documents are in order of ``sizes``.
+
+    ``counts`` and ``bitmaps`` are those of the shingles that others have too, ``sizes``
+    those of the whole sets. With ``sets`` (ascending) a pair is compared in full, without
+    it all pairs count that can be similar. With ``side`` only pairs across sides count.
     """
-    n, forest = len(sets), Forest(len(sets))
-    width = 256
-    while width < 2 * max(map(len, sets)) and width < 1 << 16:
-        width *= 2
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    bits = np.concatenate(sets) % np.uint64(width)
-    bitmaps = np.zeros((n, width // 64), np.uint64)
-    np.bitwise_or.at(bitmaps, (owner, (bits >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bits & np.uint64(63)))
-    slack = np.array([len(s) for s in sets]) - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
-    tree = Tree(sizes, bitmaps, slack)
+    n, forest = len(sizes), Forest(len(sizes))
+    width = 64 * min(map(len, bitmaps))
+    bits = np.array([folded(b, width) for b in bitmaps])
+    slack = counts - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    tree = Tree(sizes, bits, slack)
 
     def possible(p: tuple, i: int, q: tuple, j: int) -> bool:
         """Whether documents under the nodes can be similar: sizes first, then common bits."""
@@ -123,8 +145,14 @@ def tree_join(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None
         root = forest.root(low)
         return root if all(forest.root(k) == root for k in range(low + 1, high)) else -1
 
-    top = len(tree.levels) - 1
-    stack = [(top, 0, 0)]
+    def similar(a: int, b: int, need: int) -> bool:
+        if sets is None:
+            return True
+        both = np.concatenate([sets[a], sets[b]])
+        both.sort()
+        return int((both[1:] == both[:-1]).sum()) >= need
+
+    stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
         here = tree.levels[level]
@@ -140,26 +168,25 @@ def tree_join(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None
         if root >= 0 and root == one_group(b0, b1):
             continue
         need = required(sizes[a0:a1, None], sizes[None, b0:b1], share)
-        most = np.bitwise_count(bitmaps[a0:a1, None, :] & bitmaps[None, b0:b1, :]).sum(2, dtype=np.int64)
+        most = np.bitwise_count(bits[a0:a1, None, :] & bits[None, b0:b1, :]).sum(2, dtype=np.int64)
         most += np.minimum(slack[a0:a1, None], slack[None, b0:b1])
         for x, y in zip(*np.nonzero(most >= need)):
             a, b = int(a0 + x), int(b0 + y)
             if a >= b or (side is not None and side[a] == side[b]) or forest.root(a) == forest.root(b):
                 continue
-            both = np.concatenate([sets[a], sets[b]])
-            both.sort()
-            if int((both[1:] == both[:-1]).sum()) >= need[x, y]:
+            if similar(a, b, need[x, y]):
                 forest.join(a, b)
     return forest.roots()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, and for those that can be similar to another
-    ``own`` (its shared shingles, ascending, as bytes), ``keys`` and two hashes of the set;
+    ``own`` (its shared shingles, ascending, as bytes), their bitmap ``bits``, ``keys`` and two
+    hashes of the set;
     ``twin`` is a document of the same set in the same bucket, which then stands for it."""
     dealt, n = bucketed(docs)
     shared = shared_hashes(dealt, n, Shingles, "jaccard-shingles")
-    schema = "doc_id bigint, n_shingles bigint, twin bigint, f1 bigint, f2 bigint, own binary, keys array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, twin bigint, f1 bigint, f2 bigint, own binary, bits binary, keys array<bigint>"
 
     def collect(texts: pa.Table, found: pa.Table) -> pa.Table:
         shingles, known = Shingles(), merged(found)
@@ -178,92 +205,120 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for i in range(last - first):
                 doc_id, size, count = all_ids[first + i], int(sizes[i]), int(with_others[i])
                 if doc_id is None or not size or 100 * count < SHARE * size:
-                    rows.append((doc_id, size, None, None, None, None, None))
+                    rows.append((doc_id, size, *[None] * 6))
                     continue
                 whole = hashes[cuts[i] : cuts[i + 1]]
                 mark = (size, int(whole.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(whole)).view(np.int64)))
                 if mark in seen:
-                    rows.append((doc_id, size, seen[mark], None, None, None, None))
+                    rows.append((doc_id, size, seen[mark], *[None] * 5))
                     continue
                 seen[mark] = doc_id
                 own = whole[common[cuts[i] : cuts[i + 1]]]
                 prefix = size - -(-SHARE * size // 100) + 1 - (size - count)
-                rows.append((doc_id, size, None, mark[1], mark[2], own.tobytes(), own[:prefix].view(np.int64)))
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
-        names = ["doc_id", "n_shingles", "twin", "f1", "f2", "own", "keys"]
+                bits = bitmap(own, fitting_width(count)).tobytes()
+                rows.append((doc_id, size, None, mark[1], mark[2], own.tobytes(), bits, own[:prefix].view(np.int64)))
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        names = ["doc_id", "n_shingles", "twin", "f1", "f2", "own", "bits", "keys"]
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return store(dealt.groupBy("bucket").cogroup(shared.groupBy("origin")).applyInArrow(collect, schema), "jaccard-sets")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text; others ignored).
+#: Groups of rows that are compared with each other.
+_CELL = ["cell", "band", "low", "high"]
 
-    component_id is the smallest doc_id reachable by links. A null or empty text has no
-    shingles and is linked with nothing, nor is a row without doc_id (its component is null).
-    Rows of equal doc_id share their component.
-    """
-    sets = shingle_sets(docs)
-    able = sets.filter(F.col("own").isNotNull())
-    marks = ["n_shingles", "f1", "f2"]
-    heads = store(able.groupBy(*marks).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "jaccard-heads")
-    copies = able.select("doc_id", *marks).join(heads.filter("n > 1").hint("merge"), marks).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    twins = sets.filter(F.col("twin").isNotNull()).select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    leads = able.select("doc_id", "n_shingles", "keys").join(
-        heads.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id", "left_semi"
-    )
 
-    # similar sizes differ by less than a third, so they share one of two neighbouring bands
+def _bands():
+    """Similar sizes differ by less than a third, so they share one of two neighbouring bands."""
     band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / SHARE)) + 1e-9).cast("int")
-    bands = F.array(band, band + 1)
-    keyed = leads.select("doc_id", F.explode(bands).alias("band"), "keys").select(
-        "doc_id", "band", F.explode("keys").alias("key")
-    ).select("doc_id", F.xxhash64("key", "band").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    ties = keyed.join(least.hint("merge"), "key").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    cells = components(store(ties.distinct(), "jaccard-ties"), "jaccard-cells")
+    return F.array(band, band + 1)
+
 
-    # where each set goes, as ids alone: small cells whole, others by band, crowded bands by pairs of blocks
-    cells = store(cells.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")), "jaccard-cells")
-    whole = cells.groupBy("cell").agg((F.count("*") <= CELL_DOCS).alias("whole"))
+def _places(able: DataFrame, groups: DataFrame, banded: bool) -> DataFrame:
+    """(doc_id, cell, band, low, high, block): where each document goes, as ids alone.
+
+    ``groups`` are components. Groups of up to CELL_DOCS stay whole, unless ``banded``; the
+    others are cut by bands of size, and a band of more documents into pairs of blocks.
+    """
+    cells = store(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("cell")), "jaccard-cells")
+    whole = cells.groupBy("cell").agg((F.count("*") <= (0 if banded else CELL_DOCS)).alias("whole"))
     members = (
         able.select("doc_id", "n_shingles")
         .join(cells.hint("merge"), "doc_id")
         .join(whole.hint("merge"), "cell")
-        .select("doc_id", "cell", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(bands)).alias("band"))
+        .select("doc_id", "cell", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(_bands())).alias("band"))
     )
     members = store(members, "jaccard-members")
     crowds = members.groupBy("cell", "band").agg(F.count("*").alias("n")).filter("n > 1")
-    crowds = crowds.select("cell", "band", F.when(F.col("n") > CELL_DOCS, F.ceil(F.col("n") * 2 / CELL_DOCS)).otherwise(1).cast("int").alias("blocks"))
-    names = ["cell", "band", "low", "high"]
+    blocks = F.when(F.col("n") > CELL_DOCS, F.ceil(F.col("n") * 2 / CELL_DOCS)).otherwise(1).cast("int")
     places = (
-        members.join(crowds.hint("merge"), ["cell", "band"])
+        members.join(crowds.select("cell", "band", blocks.alias("blocks")).hint("merge"), ["cell", "band"])
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
-        .select("doc_id", *names, "block")
+        .select("doc_id", *_CELL, "block")
     )
-    places = store(places, "jaccard-places")
-    paired = able.select("doc_id", "n_shingles", "own").join(places.hint("merge"), "doc_id")
+    return store(places, "jaccard-places")
+
+
+def _links(able: DataFrame, places: DataFrame, in_full: bool, name: str) -> DataFrame:
+    """(a, b): links that make the groups of each cell, by bitmaps alone or ``in_full``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, names):
+        for rows in whole_groups(batches, _CELL):
             if len(rows) < 2:
                 continue
             doc, size = rows.column("doc_id").to_numpy(), rows.column("n_shingles").to_numpy()
             order = np.lexsort((doc, size))
-            own = rows.column("own").to_pylist()
-            side = rows.column("block").to_numpy()[order] if rows.column("low")[0].as_py() != rows.column("high")[0].as_py() else None
-            root = tree_join([np.frombuffer(own[i], np.uint64) for i in order], size[order], side)
+            raw, count = rows.column("data").to_pylist(), rows.column("n_shared").to_numpy()[order]
+            data = [np.frombuffer(raw[i], np.uint64) for i in order]
+            if in_full:
+                # one width for the cell: sizes in it differ little, or it has few documents
+                width = fitting_width(max(map(len, data)))
+                bits, sets = [bitmap(d, width) for d in data], data
+            else:
+                bits, sets = data, None
+            apart = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+            side = rows.column("block").to_numpy()[order] if apart else None
+            root = tree_join(size[order], count, bits, sets, side)
             tied = np.flatnonzero(root != np.arange(len(root)))
             if len(tied):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[order][tied]), pa.array(doc[order][root[tied]])], names=["a", "b"])
 
-    joined = paired.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "a bigint, b bigint")
-    links = store(joined, "jaccard-links").union(copies).union(twins)
-    groups = components(links, "jaccard-groups").withColumnsRenamed({"node": "doc_id", "component": "component_id"})
+    shared = (F.length("own") / 8).cast("bigint").alias("n_shared")
+    data = F.col("own" if in_full else "bits").alias("data")
+    paired = able.select("doc_id", "n_shingles", shared, data).join(places.hint("merge"), "doc_id")
+    paired = paired.select(*_CELL, "block", "doc_id", "n_shingles", "n_shared", "data")
+    return store(paired.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(compare, "a bigint, b bigint"), name)
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text; others ignored).
+
+    component_id is the smallest doc_id reachable by links. A null or empty text has no
+    shingles and is linked with nothing, nor is a row without doc_id (its component is null).
+    Rows of equal doc_id share their component.
+    """
+    sets = shingle_sets(docs)
+    able = sets.filter(F.col("own").isNotNull())
+    marks = ["n_shingles", "f1", "f2"]
+    heads = store(able.groupBy(*marks).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "jaccard-heads")
+    copies = able.select("doc_id", *marks).join(heads.filter("n > 1").hint("merge"), marks).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    twins = sets.filter(F.col("twin").isNotNull()).select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
+    leads = able.select("doc_id", "n_shingles", "keys").join(
+        heads.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id", "left_semi"
+    )
+    keyed = leads.select("doc_id", F.explode(_bands()).alias("band"), "keys").select(
+        "doc_id", "band", F.explode("keys").alias("key")
+    ).select("doc_id", F.xxhash64("key", "band").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    ties = keyed.join(least.hint("merge"), "key").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    tied = components(store(ties.distinct(), "jaccard-ties"), "jaccard-tied")
+    possible = components(_links(able, _places(able, tied, True), False, "jaccard-possible"), "jaccard-possible")
+    links = _links(able, _places(able, possible, False), True, "jaccard-links")
+    groups = components(links.union(copies).union(twins), "jaccard-groups").withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     return (
         sets.select("doc_id", "n_shingles")
         .join(groups.hint("merge"), "doc_id", "left")

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer, models
 
 from litscore.llm import counts, mixing, packing, simple8b
 from litscore.llm.counts import Counter as PieceCounter
-from litscore.llm.jaccard import similar_groups, tree_join
+from litscore.llm.jaccard import bitmap, fitting_width, folded, similar_groups, tree_join
 from litscore.llm.quality import classify, fit_quality
 from litscore.llm.suffix import LENGTH, digest, refine, remove_repeats
 from litscore.llm.tokens import CachedTokenizer, tokenizer_path
@@ -100,7 +100,12 @@ def test_tree_join_equals_all_pairs():
             if 100 * both >= 75 * (len(a) + len(sets[j]) - both):
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
-    assert tree_join(sets, sizes).tolist() == label
+    bits = [bitmap(s, fitting_width(len(s))) for s in sets]
+    assert tree_join(sizes, sizes, bits, sets).tolist() == label
+    loose = tree_join(sizes, sizes, bits)  # joins at least what is similar
+    assert all(loose[i] == loose[j] for i, j in enumerate(label))
+    wide = bitmap(base, 4096)
+    assert (folded(wide, 256) == bitmap(base, 256)).all()
 
 
 def test_repeats_equal_brute_force(documents):
