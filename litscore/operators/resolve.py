@@ -4,12 +4,13 @@
 ``elsevier``, ``pubmed``, ``pages`` (with ``url`` and ``publisher``) and
 ``doi_redirect`` (``doi``, ``url``). A kind that is absent is an empty source.
 
-All resolvers share one shape. Every source is scanned once and its records are
-keyed by what they can be asked for; one record per key is kept, the first by rank
-and then by its ids; the wanted keys are joined to those. A key that many records
-share is thinned before the shuffle (a row number limit runs on both sides of the
-exchange), and a list of wanted keys of checked size is broadcast to the scans so
-that only records asked for are shuffled at all.
+All resolvers share one shape. A source is scanned once and its records are keyed by
+what they can be asked for, pages of all publishers together; records whose key is not
+wanted go first, by a broadcast of the wanted keys if these are few and by a shuffled
+semi-join if not; of the others one per key is kept, the first by rank and then by its
+ids. A key that many records share is thinned before the shuffle (a row number limit
+runs on both sides of the exchange). A page that lacks what its publisher's record needs
+gives no article.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from litscore.functions.text import last_segment
 from litscore.operators.joins import first_rows, fits_broadcast, join_unique
 from litscore.operators.normalise import ARXIV_URL
+from litscore.operators.pages import usable_pages
 from litscore.schema import ARTICLE_FIELDS
+from litscore.session import materialise
 
 Sources = Mapping[str, DataFrame]
 
@@ -121,48 +124,69 @@ def _keyed(records: DataFrame, *keys: tuple[str, Column, int, str, Column]) -> D
 
 def _first_record(candidates: Sequence[DataFrame], wanted_keys: DataFrame) -> DataFrame:
     """The first record of each wanted ``(id_type, key)`` by rank, then by its ids."""
-    pool = reduce(DataFrame.unionByName, candidates)
     on = ["id_type", "key"]
-    if fits_broadcast(wanted_keys):
-        pool = pool.join(F.broadcast(wanted_keys), on, "left_semi")
+    pool = _only_wanted(reduce(DataFrame.unionByName, candidates), wanted_keys, on)
     return first_rows(pool, on, ["rank", *ARTICLE_FIELDS])
 
 
+def _only_wanted(records: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The records whose key is asked for, whatever the number of keys.
+
+    Few keys are broadcast to the scans; many are joined by shuffle.
+    """
+    keys = F.broadcast(keys) if fits_broadcast(keys) else keys
+    return records.join(keys, on, "left_semi")
+
+
 def _doi_keys(
-    sources: Sources, stages: Sequence[Stage], key: str, id_type: str
+    sources: Sources, stages: Sequence[Stage], key: str, id_type: str, wanted_keys: DataFrame
 ) -> list[tuple[str, DataFrame, tuple[str, Column, int, str, Column]]]:
     """The records that serve DOIs, with how they are keyed."""
     found = []
     for rank, stage in enumerate(stages, 1):
         records, by = sources.get(stage.name), F.col("doi")
-        if stage.name == "nature" and "pages" in sources:
-            records = sources["pages"].filter(F.col("publisher") == "nature")
+        of_pages = stage.name == "nature" and "pages" in sources
+        if of_pages:
+            records = usable_pages(sources["pages"])
         elif stage.name == "elsevier":
-            records, by = _elsevier_by_doi(sources, stage.prefix, key), F.col("wanted_doi")
+            records, by = _elsevier_by_doi(sources, stage.prefix, key, wanted_keys), F.col("wanted_doi")
         if records is None:
             continue
         by = doi_key(by, key)
         gate = _complete() if stage.complete else F.lit(True)
+        if of_pages:
+            gate = gate & (F.col("publisher") == "nature")
         if stage.prefix:
             gate = gate & by.startswith(stage.prefix)
-        found.append((stage.name, records, (id_type, by, rank, stage.name, gate)))
+        name = "pages" if of_pages else stage.name
+        found.append((name, records, (id_type, by, rank, stage.name, gate)))
     return found
 
 
-def _elsevier_by_doi(sources: Sources, prefix: str, key: str) -> DataFrame | None:
-    """Elsevier records by the DOI whose redirect ends in their publisher item id."""
+def _elsevier_by_doi(
+    sources: Sources, prefix: str, key: str, wanted_keys: DataFrame
+) -> DataFrame | None:
+    """Elsevier records by the wanted DOI whose redirect ends in their publisher item id.
+
+    Redirects are cut to wanted DOIs first and records to the items these lead to, so
+    nothing else is shuffled.
+    """
     if "elsevier" not in sources or "doi_redirect" not in sources:
         return None
-    redirects = (
-        sources["doi_redirect"]
-        .filter(doi_key(F.col("doi"), key).startswith(prefix))
-        .select(F.col("doi").alias("wanted_doi"), last_segment(F.col("url")).alias("pii"))
-        .distinct()
+    by = doi_key(F.col("doi"), key)
+    asked = _only_wanted(
+        sources["doi_redirect"].filter(by.startswith(prefix)).withColumn("key", by),
+        wanted_keys.select("key").distinct(),
+        ["key"],
     )
+    redirects = asked.select(
+        F.col("doi").alias("wanted_doi"), last_segment(F.col("url")).alias("pii")
+    ).distinct()
     records = _articles(sources["elsevier"]).withColumn(
         "pii", last_segment(F.col("publisher_url"))
     )
-    records = first_rows(records.filter(F.col("pii").isNotNull()), ["pii"], [*ARTICLE_FIELDS])
+    items = redirects.select("pii").filter(F.col("pii").isNotNull()).distinct()
+    records = first_rows(_only_wanted(records, items, ["pii"]), ["pii"], [*ARTICLE_FIELDS])
     joined = records.join(redirects, "pii")
     return joined.filter(F.col("doi") == F.col("wanted_doi")) if key == "exact" else joined
 
@@ -180,12 +204,12 @@ def resolve_waterfall(
     alerts. One row per wanted DOI; give a stored table, as it is read twice.
     """
     ids = wanted.select("id").distinct().withColumn("key", doi_key(F.col("id"), key))
+    keys = ids.select(F.lit("doi").alias("id_type"), "key").distinct()
     candidates = [
-        _keyed(records, entry) for _, records, entry in _doi_keys(sources, stages, key, "doi")
+        _keyed(records, entry) for _, records, entry in _doi_keys(sources, stages, key, "doi", keys)
     ]
     if not candidates:
         return _empty(wanted, "id", "stage", "rank", *ARTICLE_FIELDS)
-    keys = ids.select(F.lit("doi").alias("id_type"), "key").distinct()
     first = _first_record(candidates, keys).drop("id_type")
     return ids.join(first, "key").select("id", "stage", "rank", *ARTICLE_FIELDS)
 
@@ -247,12 +271,14 @@ def resolve_without_doi(rows: DataFrame, sources: Sources, row_id: str = "row_id
         by = without_version(F.col("arxiv"))
         candidates.append(_keyed(sources["arxiv"], ("arxiv", by, 1, "arxiv", F.lit(True))))
     if "pages" in sources:
-        pages = sources["pages"].filter(F.col("publisher") == "openreview")
-        entry = ("openreview", F.col("url"), 1, "openreview", F.lit(True))
-        candidates.append(_keyed(pages, entry))
+        gate = F.col("publisher") == "openreview"
+        entry = ("openreview", F.col("url"), 1, "openreview", gate)
+        candidates.append(_keyed(usable_pages(sources["pages"]), entry))
     if not candidates:
         return _empty(rows, "row_id", "route", *ARTICLE_FIELDS)
-    first = _first_record(candidates, lookups.select("id_type", "key").distinct())
+    first = materialise(
+        _first_record(candidates, lookups.select("id_type", "key").distinct()), "records"
+    )
     found = join_unique(lookups, first, ["id_type", "key"])
     return found.select("row_id", "route", *ARTICLE_FIELDS)
 
@@ -282,26 +308,31 @@ def resolve_by_type(ids: DataFrame, sources: Sources, key: str = "lower") -> Dat
     always = F.lit(True)
     entries: dict[str, list] = {}
     records: dict[str, DataFrame] = {}
-    for name, df, entry in _doi_keys(sources, NATURE_STAGES, key, "nature_doi"):
+    keys = wanted.select("id_type", "key").distinct()
+    dois = keys.filter(F.col("id_type") == "nature_doi")
+    for name, df, entry in _doi_keys(sources, NATURE_STAGES, key, "nature_doi", dois):
         records[name] = df
         entries.setdefault(name, []).append(entry)
 
-    def add(name: str, df: DataFrame | None, id_type: str, by: Column) -> None:
+    def add(
+        name: str, df: DataFrame | None, id_type: str, by: Column, stage: str = "", gate: Column = always
+    ) -> None:
         if df is not None:
             records.setdefault(name, df)
-            entries.setdefault(name, []).append((id_type, by, 1, name, always))
+            entries.setdefault(name, []).append((id_type, by, 1, stage or name, gate))
 
     add("s2", sources.get("s2"), "s2", F.col("semantic_scholar"))
     add("pubmed", sources.get("pubmed"), "pmid", F.col("pmid"))
     add("arxiv", sources.get("arxiv"), "arxiv", without_version(F.col("arxiv")))
     if "pages" in sources:
         for publisher in ("biorxiv", "science"):
-            pages = sources["pages"].filter(F.col("publisher") == publisher)
-            add(publisher, pages, f"{publisher}_url", https_url(F.col("url")))
+            gate = F.col("publisher") == publisher
+            url = https_url(F.col("url"))
+            add("pages", usable_pages(sources["pages"]), f"{publisher}_url", url, publisher, gate)
     if not records:
         return _empty(ids, "id_type", "id", "stage", *ARTICLE_FIELDS)
     candidates = [_keyed(df, *entries[name]) for name, df in records.items()]
-    first = _first_record(candidates, wanted.select("id_type", "key").distinct())
+    first = _first_record(candidates, keys)
     return wanted.join(first, ["id_type", "key"]).select(
         "id_type", "id", "stage", *ARTICLE_FIELDS
     )

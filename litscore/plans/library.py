@@ -25,9 +25,9 @@ from litscore.operators.resolve import (
     resolve_without_doi,
 )
 from litscore.operators.vectors import Encoder, HashTfIdf, embed
-from litscore.schema import ARTICLE_FIELDS
-from litscore.session import materialise
-from litscore.sources.library import read_library, read_library_csv, write_library
+from litscore.schema import ARTICLE, ARTICLE_FIELDS
+from litscore.session import materialise, scratch_scope
+from litscore.sources.library import read_library_csv, write_library
 
 
 class BuildReport(NamedTuple):
@@ -37,10 +37,8 @@ class BuildReport(NamedTuple):
     untitled: int
 
 
-def embed_library(
-    df: DataFrame, encoder: HashTfIdf | Callable[[], Encoder], k: int = 5, n: int = 10
-) -> DataFrame:
-    """Articles with a title, embedded and calibrated by out-of-fold distances.
+def embed_articles(df: DataFrame, encoder: HashTfIdf | Callable[[], Encoder]) -> DataFrame:
+    """Articles with a title and their vectors, stored; no distances are computed.
 
     Each row gets an ``article_id``, fixed by writing it before it is used: rows of
     an export may be equal in every column and still count one by one. An encoder
@@ -50,7 +48,19 @@ def embed_library(
     if isinstance(encoder, HashTfIdf) and encoder.idf is None:
         encoder.fit(prepared)
     embedded = embed(prepared, encoder).withColumn("article_id", F.monotonically_increasing_id())
-    return cv_distances(materialise(embedded, "embedded"), k, n, id_col="article_id")
+    return materialise(embedded, "embedded")
+
+
+def embed_library(
+    df: DataFrame, encoder: HashTfIdf | Callable[[], Encoder], k: int = 5, n: int = 10
+) -> DataFrame:
+    """:func:`embed_articles`, calibrated by out-of-fold distances."""
+    return cv_distances(embed_articles(df, encoder), k, n, id_col="article_id")
+
+
+def encoder_path(library_path: str) -> str:
+    """Where :func:`build_library` keeps the default encoder of a library."""
+    return f"{library_path.rstrip('/')}.encoder"
 
 
 def build_library(
@@ -60,21 +70,34 @@ def build_library(
     encoder: HashTfIdf | Callable[[], Encoder] | None = None,
     since: str | None = None,
 ) -> BuildReport:
-    """Read an export, embed and calibrate it and write it as the library table."""
+    """Read an export, embed and calibrate it and write it as the library table.
+
+    A :class:`HashTfIdf`, the default, is saved at :func:`encoder_path`, so that alerts
+    can be embedded as the library was: ``HashTfIdf.load(encoder_path(library_path))``.
+    """
     rows = read_library_csv(spark, csv_path)
     if since is not None:
         rows = filter_library_since(rows, since)
-    fields = [name for name in ARTICLE_FIELDS if name in rows.columns]
+    kinds = {f.name: f.dataType for f in ARTICLE.fields}
+    fields = [
+        F.col(name) if kinds[name].simpleString() == "string" else F.expr(f"try_cast(`{name}` AS {kinds[name].simpleString()})").alias(name)
+        for name in ARTICLE_FIELDS
+        if name in rows.columns and name != "embedding"
+    ]
+    encoder = encoder or HashTfIdf()
     seen = Observation("library rows")
-    articles = materialise(
-        rows.select(*fields).observe(
-            seen,
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col("title").isNull()).alias("untitled"),
-        ),
-        "export",
-    )
-    write_library(embed_library(articles, encoder or HashTfIdf()), library_path)
+    with scratch_scope(spark):
+        articles = materialise(
+            rows.select(*fields).observe(
+                seen,
+                F.count(F.lit(1)).alias("rows"),
+                F.count_if(F.col("title").isNull()).alias("untitled"),
+            ),
+            "export",
+        )
+        write_library(embed_library(articles, encoder), library_path)
+    if isinstance(encoder, HashTfIdf):
+        encoder.save(encoder_path(library_path))
     return BuildReport(**seen.get)
 
 
@@ -111,12 +134,3 @@ def resolve_library(
         leftover_urls(rows, row_id),
     )
 
-
-__all__ = [
-    "BuildReport",
-    "ResolvedLibrary",
-    "build_library",
-    "embed_library",
-    "read_library",
-    "resolve_library",
-]

@@ -128,25 +128,30 @@ CROSSREF = article(
     abstract=f"coalesce({ABSTRACT}, '-')",
     journal="'Crossref Journal'",
 )
+# Of the pages one in seven lacks an abstract, so that it gives no article but on bioRxiv,
+# which may also lack a title; a Science page without one gives none.
+_LANDED = f"'https://publisher.example/' || {ID}"
+_SOME = f"CASE WHEN doc_id % 7 <> 0 THEN coalesce({ABSTRACT}, '-') END"
+_SIX = f"CASE WHEN doc_id % 6 <> 0 THEN {TITLE} END"
 PAGES = [
     f"'https://www.nature.com/articles/s' || {ID} AS url",
     "'nature' AS publisher",
-    *article(doi=f"'10.1038/s' || {ID}", title=TITLE, journal="'Nature'"),
+    *article(doi=f"'10.1038/s' || {ID}", publisher_url=_LANDED, title=TITLE, abstract=_SOME, journal="'Nature'"),
 ]
 BIORXIV_PAGES = [
     f"'https://www.biorxiv.org/content/early/' || {ID} AS url",
     "'biorxiv' AS publisher",
-    *article(doi=f"'10.1101/' || {ID}", title=TITLE, abstract=ABSTRACT, journal="'BioRxiv'"),
+    *article(doi=f"'10.1101/' || {ID}", publisher_url=_LANDED, title=_SIX, abstract=_SOME, journal="'BioRxiv'"),
 ]
 SCIENCE_PAGES = [
     f"'https://science.example/s' || {ID} AS url",
     "'science' AS publisher",
-    *article(doi=f"'10.1126/s' || {ID}", title=f"CASE WHEN doc_id % 6 = 0 THEN NULL ELSE {TITLE} END", journal="'Science'"),
+    *article(doi=f"'10.1126/s' || {ID}", publisher_url=_LANDED, title=_SIX, abstract=_SOME, journal="'Science'"),
 ]
 OPENREVIEW_PAGES = [
     f"'https://openreview.net/forum?id=' || {ID} AS url",
     "'openreview' AS publisher",
-    *article(title=TITLE, abstract=ABSTRACT, journal="'OpenReview'"),
+    *article(publisher_url=_LANDED, title=TITLE, abstract=_SOME, journal="'OpenReview'"),
 ]
 ARXIV = article(
     doi=f"'10.48550/arXiv.2401.' || {ID}",

@@ -97,7 +97,7 @@ def _tiers(key: str, prefixes: bool = True, fields: str = _FIELDS) -> str:
     tiers = [
         f"SELECT {by('doi')} AS key, 1 AS rank, 's2' AS stage, {fields} FROM src_s2 WHERE {_COMPLETE}",
         f"SELECT {by('doi')}, 2, 'crossref', {fields} FROM src_crossref WHERE {_COMPLETE}",
-        f"SELECT {by('doi')}, 3, 'nature', {fields} FROM src_nature WHERE {prefix('10.1038/')}",
+        f"SELECT {by('doi')}, 3, 'nature', {fields} FROM src_nature WHERE {_COMPLETE} AND {prefix('10.1038/')}",
     ]
     if prefixes:
         tiers += [
@@ -145,7 +145,7 @@ _WITHOUT_DOI = f"""
     WHERE r.doi IS NULL AND starts_with(r.url, 'https://arxiv.org/abs/')
     UNION ALL
     SELECT r.row_id, 'openreview_url', o.doi, o.title, o.journal, o.year FROM rows_ r
-    JOIN src_openreview o ON o.url = r.url WHERE r.doi IS NULL"""
+    JOIN src_openreview o ON o.url = r.url WHERE r.doi IS NULL AND o.title IS NOT NULL AND o.abstract IS NOT NULL"""
 _LEFTOVER = """SELECT row_id, url FROM rows_ WHERE doi IS NULL AND url IS NOT NULL
     AND NOT starts_with(url, 'https://arxiv.org/abs/')
     AND NOT starts_with(url, 'https://openreview.net/forum?id=')"""
@@ -176,7 +176,7 @@ def _by_type(fields: str = _FIELDS) -> list[str]:
     UNION ALL SELECT 'arxiv', arxiv, 1, 'arxiv', {fields} FROM src_arxiv
     UNION ALL SELECT 's2', semantic_scholar, 1, 's2', {fields} FROM src_s2
     UNION ALL SELECT 'biorxiv_url', url, 1, 'biorxiv', {fields} FROM src_biorxiv
-    UNION ALL SELECT 'science_url', url, 1, 'science', {fields} FROM src_science
+    UNION ALL SELECT 'science_url', url, 1, 'science', {fields} FROM src_science WHERE {_COMPLETE}
     UNION ALL SELECT 'nature_doi', key, rank, stage, {fields} FROM tiers)""",
         """asked AS (SELECT DISTINCT id_type, id, CASE id_type WHEN 'nature_doi' THEN lower(id)
     WHEN 'arxiv' THEN regexp_replace(id, 'v[0-9]+$', '')
@@ -529,6 +529,7 @@ def oracle_sql() -> dict[str, str]:
         " FROM n, (SELECT unnest(range(5)) AS f)",
         "score_alerts": _SCORE_ALERTS,
         "unhandled_alerts": _UNHANDLED,
-        "score_alert_stream": _SCORE_ALERTS,
+        **dict.fromkeys(("score_alert_stream", "redriven_alerts", "default_encoder"), _SCORE_ALERTS),
+        "stream_density": _with(*_density("events", "event_type", "value")) + "SELECT * FROM density",
     }
 

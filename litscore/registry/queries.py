@@ -13,7 +13,13 @@ from litscore.functions import text as text_functions
 from litscore.operators import digest, extract, filters, folds, knn, normalise, pages, resolve
 from litscore.operators.vectors import HashTfIdf, embed, hash_tfidf
 from litscore.plans.alerts import score_messages
-from litscore.plans.library import build_library, embed_library, resolve_library
+from litscore.plans.library import (
+    build_library,
+    embed_articles,
+    embed_library,
+    encoder_path,
+    resolve_library,
+)
 from litscore.registry import inputs
 from litscore.schema import ARTICLE_FIELDS
 from litscore.session import materialise, scratch_path, send_by_value
@@ -25,7 +31,7 @@ from litscore.sources import (
     write_digest,
     write_library,
 )
-from litscore.streaming import score_alert_stream
+from litscore.streaming import redrive_unhandled, score_alert_stream, write_density
 
 send_by_value(__name__)
 
@@ -591,14 +597,14 @@ _SCORED = ("message_id", "id_type", "id", "title", "distance")
 
 
 def _text_library(spark: SparkSession, sf_dir: str) -> tuple[HashTfIdf, DataFrame]:
+    """The liked documents with their vectors, stored; not calibrated."""
     encoder = HashTfIdf()
-    rows = inputs.liked(spark, sf_dir).drop("doc_id")
-    return encoder, embed_library(rows, encoder)
+    return encoder, embed_articles(inputs.liked(spark, sf_dir).drop("doc_id"), encoder)
 
 
 def calibrated_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The liked documents embedded, with the sizes of their folds."""
-    _, library = _text_library(spark, sf_dir)
+    library = embed_library(inputs.liked(spark, sf_dir).drop("doc_id"), HashTfIdf())
     return library.groupBy("cv_fold").agg(F.count("*").alias("n"))
 
 
@@ -613,20 +619,22 @@ def score_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unhandled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of :func:`score_alerts` that stay in the queue, with the reason."""
-    encoder, library = _text_library(spark, sf_dir)
-    return score_messages(
-        inputs.messages(spark, sf_dir), library, inputs.sources(spark, sf_dir), encoder
-    ).unhandled
+    messages, sources = inputs.messages(spark, sf_dir), inputs.sources(spark, sf_dir)
+    return score_messages(messages, None, sources, None, scored_too=False).unhandled
 
 
-def score_alert_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same messages as a stream of files, through to the digest sink."""
-    encoder, library = _text_library(spark, sf_dir)
-    landed, out = scratch_path(spark, "messages"), scratch_path(spark, "digests")
-    inputs.messages(spark, sf_dir).write.parquet(landed)
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "messages")
+    inputs.messages(spark, sf_dir).write.parquet(path)
+    return path
+
+
+def _stream(spark: SparkSession, sf_dir: str, library: DataFrame, encoder: HashTfIdf) -> str:
+    """All messages as a stream of files; the folder of its digests."""
+    out = scratch_path(spark, "digests")
     run = score_alert_stream(
         spark,
-        landed,
+        _landed(spark, sf_dir),
         library,
         inputs.sources(spark, sf_dir),
         out,
@@ -635,9 +643,51 @@ def score_alert_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         TEXT_THRESHOLD,
     )
     run.awaitTermination()
+    return out
+
+
+def score_alert_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages as a stream of files, through to the digest sink."""
+    encoder, library = _text_library(spark, sf_dir)
+    out = _stream(spark, sf_dir, library, encoder)
     return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
 
 
+def stream_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves that the stream writes beside its digests, here of event values by type."""
+    events = inputs.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("cv_fold"), F.col("value").alias("cv_distance")
+    )
+    out = scratch_path(spark, "digests")
+    write_density(events, out)
+    found = spark.read.parquet(f"{out}/density").withColumnRenamed("cv_fold", "event_type")
+    return rounded(found, "x", "density")
+
+
+def redriven_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that a stream without sources left over, scored after the sources have landed."""
+    encoder, library = _text_library(spark, sf_dir)
+    landed, out = _landed(spark, sf_dir), scratch_path(spark, "digests")
+    run = score_alert_stream(
+        spark, landed, library, {}, out, scratch_path(spark, "stream"), encoder, TEXT_THRESHOLD
+    )
+    run.awaitTermination()
+    sources = inputs.sources(spark, sf_dir)
+    redrive_unhandled(spark, landed, library, sources, out, "later", encoder, TEXT_THRESHOLD)
+    return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
+
+
+def default_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts embedded by the encoder that a built library keeps, reloaded, and scored against it."""
+    export, stored = scratch_path(spark, "export"), scratch_path(spark, "library")
+    rows = inputs.liked(spark, sf_dir).withColumn("year", F.lit("1999"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(export)
+    build_library(spark, export, stored)
+    library, encoder = read_library(spark, stored), HashTfIdf.load(encoder_path(stored))
+    found = score_messages(inputs.messages(spark, sf_dir), library, inputs.sources(spark, sf_dir), encoder)
+    return rounded(found.scored.select(*_SCORED), "distance")
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return {
@@ -704,4 +754,7 @@ def queries() -> dict[str, Query]:
         "score_alerts": score_alerts,
         "unhandled_alerts": unhandled_alerts,
         "score_alert_stream": score_alert_stream_query,
+        "stream_density": stream_density,
+        "redriven_alerts": redriven_alerts,
+        "default_encoder": default_encoder,
     }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,24 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return with_scratch_dir(spark)
+
+
+def with_scratch_dir(spark: SparkSession) -> SparkSession:
+    """Give a session on one machine a work folder, if it names none.
+
+    For tests, the bench and other callers that start such a session; on a cluster the
+    setting has to name a folder all executors share.
+    """
+    if spark.sparkContext.master.startswith("local") and not _named_dir(spark):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="litscore-"))
     return spark
 
 
+def _named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def send_by_value(module: str) -> None:
     """Have the functions of a module travel with the tasks that call them.
 
@@ -35,26 +53,43 @@ def send_by_value(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without that setting; it gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``."""
+    folder, context = _named_dir(spark), spark.sparkContext
     if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="litscore-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside when the block ends.
+
+    Whatever is to last has to be written elsewhere before. Scopes nest; each thread has
+    its own.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in stack.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; inside a scope it is deleted with it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    stack = _scopes.__dict__.get("stack")
+    if stack:
+        stack[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,9 @@ def articles(spark, *rows, extra=()):
 
 
 def pages(spark, *rows):
-    return articles(spark, *rows, extra=("url", "publisher"))
+    """Pages that hold all that is needed but for what a row sets otherwise."""
+    needed = {"publisher_url": "p", "abstract": "x", "journal": "J", "year": 2000, "authors": "A"}
+    return articles(spark, *({**needed, **row} for row in rows), extra=("url", "publisher"))
 
 
 def wanted(spark, *ids):
@@ -45,8 +47,9 @@ def sources(spark):
             spark,
             {"doi": "10.1038/b", "title": "nature b", "publisher": "nature", "url": "n"},
             {"doi": "10.9/g", "title": "nature g", "publisher": "nature", "url": "m"},
+            {"doi": "10.1038/bare", "title": "no abstract", "abstract": None, "publisher": "nature", "url": "k"},
             {"title": "forum", "publisher": "openreview", "url": "https://openreview.net/forum?id=1"},
-            {"title": "bio", "publisher": "biorxiv", "url": "https://www.biorxiv.org/content/early/1"},
+            {"doi": "10.1101/1", "title": "bio", "publisher": "biorxiv", "url": "https://www.biorxiv.org/content/early/1"},
         ),
         "arxiv": articles(
             spark, {"doi": "10.48550/arXiv.2401.1", "arxiv": "2401.1", "title": "arxiv 1"}
@@ -212,3 +215,19 @@ def test_hot_records_are_thinned_before_the_shuffle(spark):
     for i in range(1000):
         expected.setdefault(0 if i % 3 == 0 else i % 7, i)
     assert dict(tuple(r) for r in first.collect()) == expected
+
+
+def test_pages_without_required_fields_give_no_article(spark, sources):
+    ids = wanted(spark, "10.1038/bare", "10.1038/b")
+    found = resolve.resolve_waterfall(ids, sources)
+    assert {r["id"] for r in found.collect()} == {"10.1038/b"}
+    assert [r["id"] for r in resolve.missing_ids(ids, found).collect()] == ["10.1038/bare"]
+
+
+def test_pages_are_scanned_once(spark, sources, tmp_path):
+    sources["pages"].write.parquet(str(tmp_path / "landed-pages"))
+    stored = spark.read.parquet(str(tmp_path / "landed-pages"))
+    ids = spark.createDataFrame([("nature_doi", "10.1038/b"), ("science_url", "u")], "id_type STRING, id STRING")
+    found = resolve.resolve_by_type(ids, {**sources, "pages": stored})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

@@ -104,3 +104,27 @@ def test_stream_equals_batch_and_keeps_its_place(spark, world, tmp_path):
         pending = {r["message_id"] for r in pending_messages(spark, out).collect()}
         assert pending == set(REASONS) - {"no articles"}
     assert spark.read.parquet(f"{out}/scored").filter(F.col("message_id") == "no articles").count() == 1
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from litscore.session import materialise, scratch_path, scratch_scope
+
+    with scratch_scope(spark):
+        inner = scratch_path(spark, "a")
+        stored = materialise(spark.range(3), "b")
+        path = stored.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+        with scratch_scope(spark):
+            nested = materialise(spark.range(2), "c").inputFiles()[0].removeprefix("file://")
+        assert not os.path.exists(nested) and os.path.exists(path)
+    assert not os.path.exists(path) and not os.path.exists(inner)
+
+
+def test_library_code_demands_a_shared_folder(spark, monkeypatch):
+    from litscore import session
+
+    monkeypatch.setattr(session, "_named_dir", lambda _: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_path(spark, "x")
