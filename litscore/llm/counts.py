@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from litscore.llm.common import spread
-from litscore.llm.tokens import CACHE_PIECES, _Numbered
 from litscore.worker import worker_state
 
 UNKNOWN_PENALTY = 10.0
@@ -27,6 +26,21 @@ SPACE = "▁"
 # A run of spaces starts a new word unless a piece of the vocabulary has one inside.
 _CUT = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})")
 _TEXTS = 128
+#: Distinct words whose counts a worker keeps; beyond that it starts anew.
+CACHE_WORDS = 500_000
+
+
+class _Numbered(dict):
+    """Numbers for words in order of their first use; ``new`` collects the unseen."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -104,7 +118,7 @@ class Counter:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece counts and scores of the texts; equal words are counted once."""
-        if len(self.index) > CACHE_PIECES:
+        if len(self.index) > CACHE_WORDS:
             self._clear()
         cut = [self.words(t) for t in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))

@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import spread, store
+from litscore.llm.common import slices, spread, store
 from litscore.llm.tokens import CachedTokenizer
 
 WINDOW = 1024
 #: Documents packed together, on average; windows are not shared between groups.
 GROUP_DOCS = 2048
 END_ID = 0
-#: Texts encoded at once.
-_TEXTS = 128
 
 
 class OpenWindows:
@@ -86,9 +84,9 @@ def token_counts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = CachedTokenizer.of_worker(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(at, _TEXTS)
-                ids, counts = tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
+            for first, last, data, ends in slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                ids, counts = tokenizer.encode(data, ends)
                 ids = np.insert(ids.astype("<u4"), counts.cumsum(), end_id)
                 counts = counts + 1
                 raw, starts = memoryview(ids.tobytes()), np.concatenate([[0], counts.cumsum()])

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litscore.llm.common import slices
 from litscore.llm.tokens import CachedTokenizer
 
 #: Fixed values of the format: ids in a word and bits of each, for selectors 1 to 14.
@@ -34,7 +35,6 @@ SCHEMA = (
     "part int, block int, first bigint, doc_ids array<bigint>, counts array<bigint>,"
     " words binary, run_words array<int>"
 )
-_TEXTS = 128
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = CachedTokenizer.of_worker(tokenizer, drop_space=True)
         part = TaskContext.get().partitionId()
-        block, first, held, doc_ids, counts = 0, 0, [], [], []
+        block, first, size_now, held, doc_ids, counts = 0, 0, 0, [], [], []
 
         def full() -> pa.RecordBatch:
             words, runs = encode(np.concatenate(held))
@@ -129,18 +129,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                rows = batch.slice(at, _TEXTS)
-                ids, sizes = own.encode([t or "" for t in rows.column("text").to_pylist()])
+            for start, stop, data, ends in slices(batch.column("text")):
+                rows = batch.slice(start, stop - start)
+                ids, sizes = own.encode(data, ends)
                 done = 0
                 for doc_id, size in zip(rows.column("doc_id").to_pylist(), sizes.tolist()):
                     held += [ids[done : done + size], np.array([end_id], np.uint32)]
                     done += size
                     doc_ids.append(doc_id)
                     counts.append(size + 1)
-                    if sum(counts) >= BLOCK_IDS or len(counts) >= 4096:
+                    size_now += size + 1
+                    if size_now >= BLOCK_IDS or len(counts) >= 4096:
                         yield full()
-                        block, first = block + 1, first + sum(counts)
+                        block, first, size_now = block + 1, first + size_now, 0
                         held, doc_ids, counts = [], [], []
         if counts:
             yield full()
