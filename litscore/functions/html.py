@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +21,11 @@ _ATTRIBUTE = rf"\s+[^\s=>\"']+(?:\s*=\s*(?:{_VALUE}))?"
 # What may stand between the name of a tag and its closing bracket.
 _INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 
-_NAMED = json.dumps({"apos": "'", **{n: chr(c) for n, c in name2codepoint.items()}})
+# All names of HTML 5, with the semicolon where they need one.
+_NAMED = json.dumps(html5)
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# What references to control characters of Windows-1252 stand for, from 128 on.
+_WINDOWS = bytes(range(128, 160)).decode("cp1252", "replace")
 
 
 def strip_noise(html: Column) -> Column:
@@ -29,18 +33,28 @@ def strip_noise(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)", "")
 
 
-def _decode_entity(token: Column) -> Column:
-    hexadecimal = F.conv(F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10)
-    decimal = F.nullif(F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1), F.lit(""))
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; U+FFFD for those that name none."""
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    windows = F.substring(F.lit(_WINDOWS), code - 127, F.lit(1))
+    return F.when(code.between(128, 159), windows).when(valid, character).otherwise("\ufffd")
 
-    def character(code: Column) -> Column:
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    numeric = let(F.coalesce(hexadecimal, decimal).cast("int"), character)
-    named = F.from_json(F.lit(_NAMED), "map<string,string>")[
-        F.regexp_extract(token, r"^&([a-zA-Z0-9]+);$", 1)
-    ]
+def _decode_entity(token: Column) -> Column:
+    def digits(pattern: str) -> Column:
+        # without leading zeros; more digits than any character has are cut to too many
+        return F.substring(F.regexp_extract(token, pattern, 1), 1, 8)
+
+    hexadecimal = F.conv(F.nullif(digits(r"^&#[xX]0*([0-9a-fA-F]+);?$"), F.lit("")), 16, 10)
+    decimal = F.nullif(digits(r"^&#0*([0-9]+);?$"), F.lit(""))
+    code = F.coalesce(hexadecimal, decimal).cast("bigint")
+    numeric = F.when(token.rlike(r"^&#([xX][0-9a-fA-F]+|[0-9]+);?$"), let(code, _character))
+
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+    start = F.regexp_extract(token, rf"^&({_OPEN_NAMES})", 1)
+    longest = F.when(start != "", F.concat(names[start], F.substring(token, F.length(start) + 2, F.length(token))))
+    named = F.coalesce(names[F.substring(token, F.lit(2), F.length(token))], longest)
     return F.coalesce(F.when(token.startswith("&#"), numeric).otherwise(named), token)
 
 
@@ -48,7 +62,7 @@ def unescape(text: Column) -> Column:
     """Replace character references, each once: ``&amp;lt;`` becomes ``&lt;``."""
 
     def replaced(t: Column) -> Column:
-        tokens = F.regexp_extract_all(t, F.lit(r"&#?[a-zA-Z0-9]+;|[^&]+|&"), F.lit(0))
+        tokens = F.regexp_extract_all(t, F.lit(r"&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+)|[a-zA-Z][a-zA-Z0-9]*);?|[^&]+|&"), F.lit(0))
         decoded = F.transform(
             tokens, lambda x: F.when(x.startswith("&"), _decode_entity(x)).otherwise(x)
         )
@@ -89,8 +103,16 @@ def open_tags(html: Column, *names: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
 
 
+_SINGLE = (
+    rf"(?is)^<a{_INSIDE}>(?:<(?!(?:br|hr|img|input|wbr)[\s/>])[a-z]{_INSIDE}>)*[^<]*(?:</[a-z]{_INSIDE}>)*$"
+)
+
+
 def anchors(html: Column) -> Column:
-    """All anchors of a page as ``array<struct<href, class, ref, text>>``, in order."""
+    """All anchors of a page as ``array<struct<href, class, ref, text, single>>``, in order.
+
+    ``single``: all an anchor holds is one string, maybe inside elements that hold nothing else.
+    """
     pattern = rf"(?is)<a(?=[\s/>]){_INSIDE}>.*?(?=</a\s*>|<a[\s/>]|$)"
     found = F.regexp_extract_all(strip_noise(html), F.lit(pattern), F.lit(0))
     return F.transform(
@@ -100,6 +122,7 @@ def anchors(html: Column) -> Column:
             attribute(a, "class").alias("class"),
             attribute(a, "ref").alias("ref"),
             text_of(a).alias("text"),
+            a.rlike(_SINGLE).alias("single"),
         ),
     )
 

@@ -69,6 +69,12 @@ def message_links(msgs: DataFrame) -> DataFrame:
     )
 
 
+# How ids stand in the messages.
+_ARXIV_LINE = r"^arXiv:([a-zA-Z0-9]+\.[a-zA-Z0-9]+)$"
+_PUBMED_REF = r"^article_id=([0-9]+)$"
+_DOI_TEXT = r"\bdoi:([^\s]+)"
+_READ_MORE = r"(?i)read more"
+
 # Rules read the anchors of a message from _LINKS and its text from _TEXT.
 _LINKS, _TEXT = "_links", "_text"
 
@@ -87,13 +93,12 @@ def _biorxiv_urls() -> Column:
 
 def _arxiv_ids() -> Column:
     lines = F.transform(F.split(_TEXT, "\n"), strip_text)
-    pattern = r"^arXiv:([a-zA-Z0-9]+\.[a-zA-Z0-9]+)$"
-    return F.transform(lines, lambda line: F.regexp_extract(line, pattern, 1))
+    return F.transform(lines, lambda line: F.regexp_extract(line, _ARXIV_LINE, 1))
 
 
 def _pubmed_pmids() -> Column:
     titles = F.filter(_LINKS, lambda a: has_class(a["class"], "docsum-title"))
-    return F.transform(titles, lambda a: F.regexp_extract(a["ref"], r"^article_id=([0-9]+)$", 1))
+    return F.transform(titles, lambda a: F.regexp_extract(a["ref"], _PUBMED_REF, 1))
 
 
 def query_parameter(query: Column, name: str) -> Column:
@@ -142,7 +147,7 @@ def _nature_alert_dois() -> Column:
 
 
 def _nature_ealert_dois() -> Column:
-    return F.regexp_extract_all(_TEXT, F.lit(r"\bdoi:([^\s]+)"), F.lit(1))
+    return F.regexp_extract_all(_TEXT, F.lit(_DOI_TEXT), F.lit(1))
 
 
 def _s2_ids() -> Column:
@@ -151,7 +156,7 @@ def _s2_ids() -> Column:
 
 
 def _science_urls() -> Column:
-    links = F.filter(_LINKS, lambda a: a["text"].rlike(r"(?i)read more"))
+    links = F.filter(_LINKS, lambda a: a["single"] & a["text"].rlike(_READ_MORE))
     return F.transform(links, lambda a: a["href"])
 
 

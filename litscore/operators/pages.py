@@ -186,16 +186,32 @@ def page_fields(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return prepared.withColumns({name: column(name) for name in fields}).drop("_html", "_head")
 
 
+def _publisher(df: DataFrame) -> Column:
+    known = F.lit(None).cast("string")
+    if "publisher" in df.columns:
+        known = F.when(F.col("publisher").isin(*set(PUBLISHER_HOSTS.values())), F.col("publisher"))
+    links = F.filter(
+        open_tags(F.col("html"), "link"), lambda t: F.lower(raw_attribute(t, "rel")) == "canonical"
+    )
+    canonical = raw_attribute(F.get(links, F.lit(0)), "href")
+    return F.coalesce(known, publisher_of(F.col("url")), publisher_of(canonical))
+
+
+def unknown_pages(df: DataFrame) -> DataFrame:
+    """``(page_id, url)`` of landed pages whose publisher is not known; they give no article."""
+    return df.filter(_publisher(df).isNull()).select("page_id", "url")
+
+
 def normalise_pages(df: DataFrame, rules: Sequence[Rule] = PAGE_RULES) -> DataFrame:
     """Article rows of the pages of known publishers, with ``url`` and ``publisher``.
 
-    A field a page does not hold is null. The fields leave the job through an
+    The publisher is what the page was landed with, if it is one of those known; else
+    that of the url's host; else that of the page's canonical link. Pages of none are
+    listed by :func:`unknown_pages`. A field a page does not hold is null. The fields leave the job through an
     explode of one row, so that a later filter on them does not have the rules
     evaluated a second time below the projection.
     """
-    known = df.withColumn("publisher", publisher_of(F.col("url"))).filter(
-        F.col("publisher").isNotNull()
-    )
+    known = df.withColumn("publisher", _publisher(df)).filter(F.col("publisher").isNotNull())
     parsed = page_fields(known, rules)
     fields = {r.field: F.col(r.field) for r in rules if r.field in ARTICLE_FIELDS}
     journal = F.when(F.col("publisher") == "biorxiv", F.lit("BioRxiv")).otherwise(

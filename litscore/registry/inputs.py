@@ -69,8 +69,8 @@ def message_columns(base64: str) -> list[str]:
         both('<a href="https://www.semanticscholar.org/paper/T/h', '?x=1" class="paper-link">t</a>'),
         f"chr(10) || 'arXiv:2401.' || {ID} || chr(10) || ' arXiv:2401.' || {HOT} || 'v2 ' || chr(10)"
         " || 'not arXiv:1.2' || chr(10)",
-        both("<a href=''https://science.example/s", "''>READ <b>MORE</b></a>")
-        + " || '<a href=\"#\">other</a>'",
+        both("<a href=''https://science.example/s", "''>READ MORE</a>")
+        + " || '<a href=\"https://science.example/mixed\">READ <b>MORE</b></a><a href=\"#\">other</a>'",
         "'<a href=\"http://www.biorxiv.org/content/early/1\">paper</a>'",
     )
     sender = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SENDERS))

@@ -82,5 +82,6 @@ ELSEVIER_BODY = """
         `dc:creator`: ARRAY<STRUCT<`$`: STRING>>>
 """
 
-PAGE = "page_id BIGINT, url STRING, html STRING"
+# ``publisher`` may be set where a page is landed, for urls of other hosts
+PAGE = "page_id BIGINT, url STRING, html STRING, publisher STRING"
 DOI_REDIRECT = "doi STRING, url STRING"

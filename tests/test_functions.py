@@ -71,7 +71,9 @@ def test_article_url(spark):
         (None, None),
         ("a &amp;lt; b", "a &lt; b"),
         ("&eacute;&#233;&#xE9;&#x1F600;", "ééé\U0001f600"),
-        ("&nosuch; & &#0; &#xD800;", "&nosuch; & &#0; &#xD800;"),
+        ("&nosuch; & &#0; &#xD800;", "&nosuch; & \ufffd \ufffd"),
+        ("&#0000000065;&#x00000041;&#150;&#99999999999;", "AA\u2013\ufffd"),
+        ("&lbrack;&copy 2020 &notit;&copy2020&ampx &AMP &#65 x", "[© 2020 ¬it;©2020&x & A x"),
         ("it&apos;s &quot;q&quot;", "it's \"q\""),
     ],
 )
@@ -126,3 +128,10 @@ def test_element_bodies(evaluate):
 def test_long_pages_do_not_overflow(evaluate):
     html = "<p>" + "x" * 200_000 + "<br" + " a='1'" * 300 + ">" + "y&amp;" * 20_000 + "</p>"
     assert evaluate(text_of, html) == "x" * 200_000 + "y&" * 20_000
+
+
+def test_unescape_equals_the_parser(evaluate):
+    import html
+
+    for text in ("&NotEqualTilde; &hearts;&nbsp;|", "&lt&gt&quot&&&#x3c&#60", "&Aacute&aacut; &frac12x &#x1F600 &#128;"):
+        assert evaluate(unescape, text) == html.unescape(text)

@@ -104,9 +104,11 @@ def test_s2(spark):
 def test_science(spark):
     html = (
         '<a href="https://a.example">Read <b>more</b></a><a href="https://b.example">READ MORE &raquo;</a>'
-        '<a>read more</a><a href="https://c.example">more</a>'
+        '<a>read more</a><a href="https://c.example">more</a><a href="https://d.example"><b><i>Read more</i></b></a>'
+        '<a href="https://e.example">read more<br></a><a href="https://f.example"> <b>read more</b></a>'
     )
-    assert ids(spark, "science", html) == ["https://a.example", "https://b.example"]
+    # only anchors that hold one string
+    assert ids(spark, "science", html) == ["https://b.example", "https://d.example"]
 
 
 def test_handled_or_unhandled_once(spark):

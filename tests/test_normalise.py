@@ -197,7 +197,7 @@ def test_usable_pages(spark):
         ("https://www.nature.com/articles/s1", NATURE),
         ("https://www.nature.com/articles/s2", NATURE.replace("dc.description", "none")),
         ("https://www.biorxiv.org/content/1", "<h1>no</h1>"),
-        ("https://example.org/1", NATURE),
+        ("https://example.org/1", NATURE.replace("CANONICAL", "alternate")),
     )
     assert [r["page_id"] for r in normalise_pages(df).select("page_id").collect()] == [0, 1, 2]
     assert [r["page_id"] for r in usable_pages(normalise_pages(df)).collect()] == [0]
@@ -216,3 +216,18 @@ def test_usable_pages(spark):
 )
 def test_publisher(evaluate, url, publisher):
     assert evaluate(publisher_of, url) == publisher
+
+
+def test_landed_publishers(spark):
+    from litscore.operators.pages import normalise_pages, unknown_pages
+
+    body = '<html><head><LINK rel="Canonical" href="https://www.nature.com/articles/s1"></head></html>'
+    df = spark.createDataFrame(
+        [(1, "https://click.example/1", "", "science"), (2, "https://click.example/2", body, None),
+         (3, "https://www.science.org/x", "", None), (4, "https://click.example/4", "", "other"), (5, None, None, None)],
+        "page_id BIGINT, url STRING, html STRING, publisher STRING",
+    )
+    found = {r["page_id"]: r["publisher"] for r in normalise_pages(df).collect()}
+    assert found == {1: "science", 2: "nature", 3: "science"}
+    assert sorted(r["page_id"] for r in unknown_pages(df).collect()) == [4, 5]
+    assert {r["page_id"] for r in normalise_pages(df.drop("publisher")).collect()} == {2, 3}
