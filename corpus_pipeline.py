@@ -46,29 +46,25 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     counted anew. Documents that lose nothing stay as they are.
     """
 
+    others = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs, tuple(others)).select("carried", "n_removed", "kept")
+    schema = cut.select("carried", "n_removed", F.lit("").alias("kept")).schema
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(texts, pa.string())], names=["doc_id", "text_hash", "kept"]
-            )
-
-    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "text_hash", "kept").mapInArrow(
-        decode, "doc_id bigint, text_hash bigint, kept string"
-    )
-    # rows of one doc_id lose bytes alike if they are equal; else each keeps its own text's rest
-    kept, key, whole = free_name(docs, "kept"), free_name(docs, "kept_id"), free_name(docs, "kept_text")
-    joined = docs.join(
-        cut.select(F.col("doc_id").alias(key), F.col("kept").alias(kept), F.col("text_hash").alias(whole)).distinct().hint("merge"),
-        (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(whole)),
-        "left",
-    )
-    lost = F.col(kept).isNotNull()
+            columns = [batch.column("carried"), batch.column("n_removed"), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["carried", "n_removed", "kept"])
+
+    lost = F.col("n_removed") > 0
+    columns = {
+        "text": F.when(~F.col("carried.no_text"), F.col("kept")),
+        "n_chars": F.when(lost, F.length("kept").cast("bigint")).otherwise(F.col("carried.n_chars")),
+    }
     return (
-        joined.filter(~lost | (F.col(kept) != ""))
-        .withColumn("n_chars", F.when(lost, F.length(kept).cast("bigint")).otherwise(F.col("n_chars")))
-        .withColumn("text", F.coalesce(kept, "text"))
-        .select(*docs.columns)
+        cut.mapInArrow(decode, schema)
+        .filter(~lost | (F.col("kept") != ""))
+        .select(*(columns.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litscore.llm.common import slices, store
@@ -25,10 +25,13 @@ Parts = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, doc_id, text, text_hash) and the number of buckets."""
+    """(bucket, doc_id, text) and the number of buckets."""
     n = max(1, -(-docs.count() // BUCKET_DOCS))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket")
-    return docs.select(bucket, "doc_id", "text", F.xxhash64("text").alias("text_hash")), n
+    return docs.select(bucket_of(n), "doc_id", "text"), n
+
+
+def bucket_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket")
 
 
 def narrow(hashes: np.ndarray, keys: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litscore.llm.common import _powers, mix, slices, store
-from litscore.llm.shared import among, bucketed, merged, narrow, shared_hashes
+from litscore.llm.shared import among, bucket_of, bucketed, merged, narrow, shared_hashes
 
 LENGTH, GRAM = 50, 18
 #: Windows in a segment at most, so that periodic texts do not make long segments.
@@ -139,10 +139,10 @@ def refine(texts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return at, pointer[at]
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bucketed documents, and for each bucket and segment content the smallest ids of its windows.
+def repeated_spans(docs: DataFrame) -> tuple[int, DataFrame]:
+    """The number of buckets, and for each bucket and segment content the smallest ids of its windows.
 
-    The second table has bucket, content, and ``counts`` windows in a row that start in the
+    The table has bucket, content, and ``counts`` windows in a row that start in the
     document ``lows`` first.
     """
     dealt, n = bucketed(docs)
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = segments.repartition("key").sortWithinPartitions("key").mapInArrow(
         sort, "bucket int, content bigint, counts array<int>, lows array<bigint>"
     )
-    return dealt, store(spans, "suffix-spans")
+    return n, store(spans, "suffix-spans")
 
 
 def _removed(own: Segments, data: np.ndarray, ends: np.ndarray, doc: np.ndarray, known: tuple) -> np.ndarray:
@@ -278,14 +278,19 @@ def _removed(own: Segments, data: np.ndarray, ends: np.ndarray, doc: np.ndarray,
     return step.cumsum()[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept), one row per row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried, n_bytes, n_removed, n_spans, kept), one row per row of ``docs`` (doc_id, text).
 
-    ``kept`` holds the UTF-8 bytes that stay, ``text_hash`` is xxhash64 of the text. A null or empty text has no bytes, one of fewer
+    ``kept`` holds the UTF-8 bytes that stay, ``carried`` the columns named by ``carry``. A null or empty text has no bytes, one of fewer
     than LENGTH loses none. Rows of equal doc_id do not remove each other's bytes; rows
     without doc_id neither lose nor remove any. Other columns are ignored.
     """
-    dealt, spans = repeated_spans(docs)
+    n, spans = repeated_spans(docs)
+    carried = F.struct(F.col("text").isNull().alias("no_text"), *carry).alias("carried")
+    dealt = docs.select(bucket_of(n), "doc_id", "text", carried)
+    schema = dealt.select("doc_id", "carried").schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+        schema = schema.add(name, kind)
 
     def apply(texts: pa.Table, found: pa.Table) -> pa.Table:
         own, columns = Segments(), {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
@@ -318,14 +323,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             at = (ends - removed[ends]).tolist()
             columns["kept"] += [raw[a:b] for a, b in zip(at, at[1:])]
         number = lambda k: pa.array(np.concatenate(columns[k]) if columns[k] else [], pa.int64())
-        hashes = texts.column("text_hash").combine_chunks()
-        return pa.table([ids, hashes, number("n_bytes"), number("n_removed"), number("n_spans"), pa.array(columns["kept"], pa.binary())], names=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([ids, texts.column("carried"), number("n_bytes"), number("n_removed"), number("n_spans"), pa.array(columns["kept"], pa.binary())], names=["doc_id", "carried", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
-        apply, "doc_id bigint, text_hash bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    )
+    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(apply, schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """``kept`` replaced by its sha256 in lower-case hexadecimal."""
-    return removed.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept", "text_hash")
+    return removed.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept", "carried")
