@@ -13,6 +13,7 @@ from litscore.llm.html import extract
 from litscore.llm.jaccard import similar_groups
 from litscore.llm.mixing import mix_sources, taken_words
 from litscore.llm.neardup import near_duplicates
+from litscore.llm.oracle import oracle_sql
 from litscore.llm.packing import pack
 from litscore.llm.quality import classify
 from litscore.llm.simple8b import crc, read_ids, write_ids
@@ -79,5 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
