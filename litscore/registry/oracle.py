@@ -475,7 +475,8 @@ def oracle_sql() -> dict[str, str]:
         "normalise_crossref": _CROSSREF_ROWS,
         "normalise_s2": _S2_ROWS,
         "normalise_elsevier": _ELSEVIER_ROWS,
-        "normalise_pages": _PAGE_ROWS,
+        **dict.fromkeys(("normalise_pages", "pages_dump"), _PAGE_ROWS),
+        "doi_redirect_dump": _with(*_SOURCES) + "SELECT doi, url FROM src_doi_redirect",
         "usable_pages": _USABLE,
         "page_fields": f"SELECT page_id, {_element('title')} AS title, {_element('h1')} AS h1 FROM pages",
         "unwrap_text": f"SELECT doc_id, trim({padded}, ' ' || chr(10)) AS cleaned, {_unwrapped(padded)} AS unwrapped FROM documents",

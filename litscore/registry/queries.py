@@ -113,6 +113,19 @@ def _json_dump(kind: str) -> Query:
     return run
 
 
+def pages_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages scanned as a dump and normalised."""
+    path = scratch_path(spark, "pages")
+    inputs.article_pages(spark, sf_dir).write.parquet(path)
+    return pages.normalise_pages(read_source_dump(spark, "pages", path)).drop("notes")
+
+
+def doi_redirect_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "redirects")
+    inputs.sources(spark, sf_dir)["doi_redirect"].write.parquet(path)
+    return read_source_dump(spark, "doi_redirect", path)
+
+
 NORMALISERS = {
     "pubmed": normalise.normalise_pubmed,
     "arxiv": normalise.normalise_arxiv,
@@ -719,6 +732,8 @@ def queries() -> dict[str, Query]:
         "normalise_crossref": _json_dump("crossref"),
         "normalise_s2": _json_dump("s2"),
         "normalise_elsevier": _json_dump("elsevier"),
+        "pages_dump": pages_dump,
+        "doi_redirect_dump": doi_redirect_dump,
         "normalise_pages": normalise_pages,
         "usable_pages": usable_pages,
         "page_fields": page_fields,
