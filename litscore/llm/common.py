@@ -22,7 +22,30 @@ SLICE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows in an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have batches of ``BATCH_ROWS`` rows, unless the session has set a number of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system, so that idle workers stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only the GNU library has it
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +55,7 @@ def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     Survives lost executors; the shuffle files of the write are given up when it ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path, schema = scratch_path(spark, name), df.schema
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import WordHasher, mix, slices, store, whole_groups
+from litscore.llm.common import WordHasher, give_back, mix, slices, store, whole_groups
 from litscore.llm.components import Forest, components
 from litscore.llm.shared import among, bucketed, merged, narrow, shared_hashes
 
@@ -217,6 +217,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 prefix = size - -(-SHARE * size // 100) + 1 - (size - count)
                 bits = bitmap(own, fitting_width(count)).tobytes()
                 rows.append((doc_id, size, None, mark[1], mark[2], own.tobytes(), bits, own[:prefix].view(np.int64)))
+        give_back()
         columns = list(zip(*rows)) if rows else [[]] * 8
         kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.list_(pa.int64())]
         names = ["doc_id", "n_shingles", "twin", "f1", "f2", "own", "bits", "keys"]

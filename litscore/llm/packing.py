@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import slices, spread, store
+from litscore.llm.common import give_back, slices, spread, store
 from litscore.llm.tokens import CachedTokenizer
 
 WINDOW = 1024
@@ -98,6 +98,7 @@ def token_counts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
                     names=["doc_id", "doc_tokens", "crcs"],
                 )
+        give_back()
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, doc_tokens bigint, crcs array<bigint>")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import WordHasher, mix, slices, spread
+from litscore.llm.common import WordHasher, give_back, mix, slices, spread
 
 PLACES = 1 << 18
 #: Labelled rows that the model is fitted on at most: those first by a hash of doc_id.
@@ -134,6 +134,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, name: str = "quality_sco
                 score = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, name])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import slices, store
+from litscore.llm.common import give_back, slices, store
 
 #: Documents in a bucket, on average.
 BUCKET_DOCS = 2048
@@ -81,6 +81,7 @@ def shared_hashes(docs: DataFrame, buckets: int, parts: Callable[[], Parts], nam
             put(keys[a:b] & np.uint64(0xFFFFFFFF)) + np.packbits(times[a:b] > 1).tobytes()
             for a, b in zip(cuts[at], cuts[at + 1])
         ]
+        give_back()
         return _blobs(at.tolist(), [origin] * len(at), np.diff(cuts)[at].tolist(), data)
 
     def find(table: pa.Table) -> pa.Table:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litscore.llm.common import _powers, mix, slices, store
+from litscore.llm.common import _powers, give_back, mix, slices, store
 from litscore.llm.shared import among, bucket_of, bucketed, merged, narrow, shared_hashes
 
 LENGTH, GRAM = 50, 18
@@ -169,6 +169,7 @@ def repeated_spans(docs: DataFrame) -> tuple[int, DataFrame]:
             at, raw = order[new], data.tobytes()
             strings = [raw[a:b] for a, b in zip(first[at].tolist(), (first[at] + size[at] + LENGTH - 1).tolist())]
             out.append(pa.table({"bucket": pa.array([bucket] * len(at), pa.int32()), "key": key[at].view(np.int64), "content": content[new].view(np.int64), "low": doc[new], "high": doc[top], "string": pa.array(strings, pa.binary())}))
+        give_back()
         if not out:
             return pa.table({"bucket": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "content": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64()), "string": pa.array([], pa.binary())})
         every = pa.concat_tables(out)
@@ -194,6 +195,7 @@ def repeated_spans(docs: DataFrame) -> tuple[int, DataFrame]:
                     held = held.slice(cut)
         if held is not None and len(held):
             yield from lowest(held)
+        give_back()
 
     def lowest(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, content = rows.column("key").to_numpy(), rows.column("content").to_numpy()
@@ -322,6 +324,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             raw = data[~gone].tobytes()
             at = (ends - removed[ends]).tolist()
             columns["kept"] += [raw[a:b] for a, b in zip(at, at[1:])]
+        give_back()
         number = lambda k: pa.array(np.concatenate(columns[k]) if columns[k] else [], pa.int64())
         return pa.table([ids, texts.column("carried"), number("n_bytes"), number("n_removed"), number("n_spans"), pa.array(columns["kept"], pa.binary())], names=["doc_id", "carried", "n_bytes", "n_removed", "n_spans", "kept"])
 
