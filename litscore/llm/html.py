@@ -37,13 +37,16 @@ BOILERPLATE = frozenset(
 ROOTS = frozenset(("article", "main"))
 HEADINGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-# Whole words of class and id that mark what is not the article.
+# Last words of a class or id that mark what is not the article.
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay"
     " cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar"
     " side aside footer foot masthead comment comments respond disqus share sharing social related recommended"
     " newsletter subscribe subscription login signup pagination pager toolbar widget widgets".split()
 )
+MARKS = BOILERPLATE_WORDS | {"header"}
+# Words in front of them that make it a state of the page or a subject of the text: no-sidebar, category-social.
+NO_MARK = frozenset("no not non with without has have is hide hidden show enable disable category categories cat tag topic by".split())
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -66,18 +69,28 @@ SHARES = 32
 BROADCAST_BYTES = 32 << 20
 
 
+def _marks(token: str) -> bool:
+    """Whether a whole class or id says so: a listed word, or a name that ends in one and tells no state or subject."""
+    words = _WORDS.findall(token)
+    return bool(words) and words[-1] in MARKS and not NO_MARK.intersection(words[:-1])
+
+
 def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is none of the article's; an article's own header is."""
+    """Whether an element is none of the article's; an article's own header is.
+
+    Classes and ids never mark what holds the page, the outermost article or a heading.
+    """
     if name in BOILERPLATE:
         return not (name == "header" and in_article)
+    spared = name in HEADINGS and not (name == "article" and in_article)
     for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
-        words = _WORDS.findall((a or b or c).lower())
-        key = key.lower()
-        if key == "role" and BOILERPLATE_ROLES.intersection(words):
+        value, key = (a or b or c).lower(), key.lower()
+        if key == "role" and BOILERPLATE_ROLES.intersection(_WORDS.findall(value)):
             return True
-        if key in ("class", "id"):
-            if BOILERPLATE_WORDS.intersection(words) or "header" in words and name not in HEADINGS and not in_article:
-                return True
+        if key in ("class", "id") and not spared:
+            for token in value.split():
+                if _marks(token) and not (in_article and token.endswith("header")):
+                    return True
     return False
 
 

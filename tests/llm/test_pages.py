@@ -58,3 +58,13 @@ def test_extract(spark):
 def test_hosts(evaluate):
     for url, host in (("https://u:p@A.example:80/x", "a.example"), ("http://b.example?x", "b.example"), ("x", ""), (None, "")):
         assert evaluate(host_of, url) == host
+
+
+def test_class_and_id_words_mark_whole_names_only():
+    inner = '<h2 id="related-work">Related</h2><section id="side-effects">Side</section><h2 id="social-history">History</h2><div class="ad-hoc-methods">Methods</div><h3 class="comments">Three</h3>'
+    for name in ("post no-sidebar", "hentry comments-open", "category-social", "sidebar", "post with-comments"):
+        assert text(f'<body><article class="{name}">{inner}</article></body>') == "Related Side History Methods Three"
+    for body in ('<body class="with-sidebar">', '<body id=sidebar>', '<html class="no-ads"><body>', '<body><div class="hentry category-social tag-cookies">'):
+        assert text(f"{body}<p>All</p>{inner}") == "All Related Side History Methods Three"
+    assert text("<main class='widget'><p>a</p><div class='cookie-notice'>b</div><div id=site_footer>c</div><div class='page-header box'>d</div>") == "a"
+    assert text("<article><p>a</p><div class='entry-header'>b</div><article class=comment>c</article></article>") == "a b"
