@@ -56,6 +56,26 @@ def test_near_duplicates_equal_brute_force(spark, bucket_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+@pytest.mark.parametrize(("shift", "share"), [(1.3, 1.0), (2.0, 1.0), (1.7, 0.33)])
+def test_near_duplicates_of_vectors_that_share_a_direction(spark, shift, share):
+    rng, n, dims = np.random.default_rng(8), 1500, 64
+    unit_rows = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit_rows(rng.standard_normal((n, dims)))
+    x[:, 0] += shift * (rng.random(n) < share)
+    x = unit_rows(x)
+    aside = rng.standard_normal((n, dims))
+    aside = unit_rows(aside - (aside * x).sum(1, keepdims=True) * x)
+    cosine = np.resize([0.931, 0.94, 0.95], n)[:, None]
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * aside])
+    near = np.triu(x @ x.T >= 0.93, 1)
+    expected = near.sum(0) + near.sum(1)
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")).collect()
+    links = np.zeros(2 * n, int)
+    links[[r.vec_id for r in got]] = [r.n_links for r in got]
+    print("recall", links.sum() / expected.sum(), "norm of the mean", np.linalg.norm(x.mean(0)), "links", int(expected.sum()))
+    assert (links <= expected).all() and links.sum() >= 0.999 * expected.sum()
+
+
 def test_rotations_are_orthogonal():
     mean, turns = learn_rotations(np.random.default_rng(1).standard_normal((300, 12)), 30)
     assert turns.shape == (12, 30) and np.allclose(turns[:, :12].T @ turns[:, :12], np.eye(12)) and len(mean) == 12
