@@ -6,10 +6,14 @@ after the other: text against text is a slot, a group that only one side has bec
 optional, a group that occurs once here and again and again there becomes repeated. What
 results is a union-free regular expression, the host's wrapper. It tells which elements hold
 the article on that host; a page's text is what fills the slots in there.
+
+A page without such an element is split into template and slots by its texts: what stands at
+the same place on at least half of the host's pages that have that place is template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -65,10 +69,17 @@ _WORDS = re.compile(r"[a-z]+")
 DEEPEST = 100
 #: Partial wrappers of a host are inferred from this many shares of its streams, then merged.
 SHARES = 32
+#: A page's longest text, if of so many characters, tells it from others: copies of it are no evidence of a template.
+OWN_CHARS = 200
 #: Wrappers are sent to all executors up to this size; beyond it they are joined by host.
 BROADCAST_BYTES = 32 << 20
 
 
+def _hash(*values: object) -> int:
+    text = "\0".join(map(str, values)).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 def _marks(token: str) -> bool:
     """Whether a whole class or id says so: a listed word, or a name that ends in one and tells no state or subject."""
     words = _WORDS.findall(token)
@@ -136,7 +147,9 @@ class Walk:
     """The open elements while a page is read; forgives elements that are not closed."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, str, bool]] = []
+        self.open: list[tuple[str, str, bool, int]] = []
+        # of each block element: place of its parent, tag, number among the parent's of this tag, tags in it
+        self.places: list[tuple[int, str, int, dict[str, int]]] = [(-1, "", 0, {})]
 
     def start(self, name: str, attributes: str) -> bool:
         """Open an element; true if it is block-level. Void elements are not opened."""
@@ -150,7 +163,13 @@ class Walk:
         if name in CLOSED_BY:
             self._close(name, CLOSED_BY[name], {"ul", "ol", "dl", "table", "div", "article", "section", "nav"})
         if name not in VOID:
-            self.open.append((name, _key(name, attributes), _is_boilerplate(name, attributes, any(o[0] == "article" for o in self.open))))
+            key, place = _key(name, attributes), self.place()
+            if name not in INLINE:
+                inner = self.places[place][3]
+                inner[key] = inner.get(key, 0) + 1
+                self.places.append((place, key, inner[key], {}))
+                place = len(self.places) - 1
+            self.open.append((name, key, _is_boilerplate(name, attributes, any(o[0] == "article" for o in self.open)), place))
         return name not in INLINE
 
     def _close(self, name: str, which: set[str], limits: set[str]) -> None:
@@ -176,6 +195,17 @@ class Walk:
     def skipped(self) -> bool:
         return any(o[2] for o in self.open)
 
+    def place(self) -> int:
+        return self.open[-1][3] if self.open else 0
+
+    def place_hashes(self) -> list[tuple[int, int]]:
+        """Of each place of a page that has been read: by its numbers from the first and from the last of a tag."""
+        out = [(1, 2)]
+        for parent, key, number, _ in self.places[1:]:
+            first, last = out[parent]
+            out.append((_hash(first, key, number), _hash(last, key, self.places[parent][3][key] - number)))
+        return out
+
 
 def stream(page: str) -> list[str]:
     """Block tokens of a page: ``<tag.class``, ``>`` for an end, ``#`` for text; boilerplate text is no slot."""
@@ -291,9 +321,17 @@ def roots(tree: list, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
     return out
 
 
-def main_text(page: str, wrapper_roots: set[tuple[str, ...]]) -> str:
+def main_text(page: str, wrapper_roots: set[tuple[str, ...]], template: frozenset[int] = frozenset()) -> str:
     """Text of the slots inside the wrapper's article, or of all slots if the page has no such element."""
-    inside, anywhere, found = [], [], False
+    walk, blocks, found = read_blocks(page, wrapper_roots)
+    if found:
+        return " ".join(text for text, _, in_root in blocks if in_root)
+    return " ".join(slots(walk, blocks, template) if template else [b[0] for b in blocks])
+
+
+def read_blocks(page: str, wrapper_roots: set[tuple[str, ...]] | None) -> tuple[Walk, list[tuple[str, int, bool]], bool]:
+    """The page's elements, its (text, place, in a root) but boilerplate, and whether it has a root; any article or main, if None."""
+    blocks, found = [], False
     walk = Walk()
     own: list[str] = []
 
@@ -301,11 +339,11 @@ def main_text(page: str, wrapper_roots: set[tuple[str, ...]]) -> str:
         text = " ".join(entities.unescape("".join(own)).split())
         own.clear()
         if text:
-            anywhere.append(text)
-            if in_root:
-                inside.append(text)
+            blocks.append((text, walk.place(), in_root))
 
     def in_root() -> bool:
+        if wrapper_roots is None:
+            return any(o[0] in ROOTS for o in walk.open)
         path = walk.path()
         return any(path[: len(r)] == r for r in wrapper_roots)
 
@@ -326,7 +364,38 @@ def main_text(page: str, wrapper_roots: set[tuple[str, ...]]) -> str:
         now = in_root()
         found = found or now
     flush(now)
-    return " ".join(inside if found else anywhere)
+    return walk, blocks, found
+
+
+def slots(walk: Walk, blocks: list[tuple[str, int, bool]], template: frozenset[int]) -> list[str]:
+    """Texts that are not of the template, with the headings that every page has in front of them; all, if there are none."""
+    at = walk.place_hashes()
+    fixed = [any(_hash(h, text) in template for h in at[place]) for text, place, _ in blocks]
+    if all(fixed):
+        return [b[0] for b in blocks]
+
+    def heads(i: int) -> bool:
+        """Whether a heading stands in front of a slot in the same element."""
+        parent, key = walk.places[blocks[i][1]][:2]
+        if key.split(".")[0] not in HEADINGS or i + 1 == len(blocks) or fixed[i + 1]:
+            return False
+        place = blocks[i + 1][1]
+        while place > parent:
+            place = walk.places[place][0]
+        return place == parent
+
+    return [b[0] for i, b in enumerate(blocks) if not fixed[i] or heads(i)]
+
+
+def placed_texts(page: str) -> list[tuple[int, int, int]]:
+    """(place, text at it, page) as hashes, of a page that has no text in an article or main."""
+    walk, blocks, _ = read_blocks(page, None)
+    if not blocks or any(b[2] for b in blocks):
+        return []
+    longest = max((b[0] for b in blocks), key=len)
+    own = _hash(longest) if len(longest) >= OWN_CHARS else _hash(*(b[0] for b in blocks))
+    at = walk.place_hashes()
+    return [(h, _hash(h, text), own) for text, place, _ in blocks for h in at[place]]
 
 
 def host_of(url):
@@ -359,30 +428,59 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return partial.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
 
+def infer_templates(pages: DataFrame) -> DataFrame:
+    """(host, template): hashes of the texts that at least half of a host's pages, and two, have at a place.
+
+    Pages count that have no text in an article or main and have the place; copies count once.
+    """
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [placed_texts(h or "") for h in batch.column("html").to_pylist()]
+            hosts = [x for x, own in zip(batch.column("host").to_pylist(), found) for _ in own]
+            columns = zip(*(row for own in found for row in own)) if hosts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["host", "place", "text", "page"])
+
+    laid = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(lay, "host string, place bigint, text bigint, page bigint")
+    laid = store(laid.distinct(), "page-texts")
+    texts = laid.groupBy("host", "place", "text").agg(F.count("*").alias("n")).filter("n > 1")
+    places = laid.groupBy("host", "place", "page").count().groupBy("host", "place").agg(F.count("*").alias("of"))
+    fixed = texts.join(places.filter("of > 1").hint("merge"), ["host", "place"]).filter("2 * n >= of")
+    return fixed.groupBy("host").agg(F.collect_set("text").alias("template"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page; html is read whole, null is empty.
 
     Other columns are ignored. Pages with no url share a wrapper. A page without the element
-    that the wrapper names, or of a host without any, gives all its text but boilerplate.
+    that the wrapper names, or of a host without any, gives all its text but boilerplate and
+    the host's template.
     """
-    wrappers = store(infer_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0)).alias("n")).first()["n"]
+    wrappers = store(infer_wrappers(pages).join(infer_templates(pages).hint("merge"), "host", "left"), "wrappers")
+    length = F.octet_length("wrapper") + F.octet_length("host") + 8 * F.coalesce(F.array_size("template"), F.lit(0))
+    size = wrappers.agg(F.coalesce(F.sum(length), F.lit(0)).alias("n")).first()["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_state().setdefault("wrapper roots", {})
+        templates: dict[str, frozenset[int]] = {}
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
+            rows = zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), batch.column("host").to_pylist())
+            for i, (page, wrapper, host) in enumerate(rows):
+                if host not in templates:
+                    if len(templates) > 10_000:
+                        templates.clear()
+                    templates[host] = frozenset(batch.column("template")[i].as_py() or ())
                 if wrapper not in known:
                     if len(known) > 10_000:
                         known.clear()
                     known[wrapper] = roots(read(wrapper or ""))
-                texts.append(main_text(page or "", known[wrapper]))
+                texts.append(main_text(page or "", known[wrapper], templates[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
 
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = keyed.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
-    texts = joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id bigint, url string, text string")
+    texts = joined.select("page_id", "url", "html", "wrapper", "template", "host").mapInArrow(run, "page_id bigint, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

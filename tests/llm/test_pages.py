@@ -68,3 +68,24 @@ def test_class_and_id_words_mark_whole_names_only():
         assert text(f"{body}<p>All</p>{inner}") == "All Related Side History Methods Three"
     assert text("<main class='widget'><p>a</p><div class='cookie-notice'>b</div><div id=site_footer>c</div><div class='page-header box'>d</div>") == "a"
     assert text("<article><p>a</p><div class='entry-header'>b</div><article class=comment>c</article></article>") == "a b"
+
+
+def test_text_of_a_host_without_article_is_told_from_its_template(spark):
+    """Menus, notices and footers in unmarked elements go; cells, headings and copies of a page stay."""
+    words = "zero one two three four five".split()
+
+    def page(i, extra=""):
+        own = f"<div><h1>Title {words[i]}</h1><h2>Abstract</h2>" + "".join(f"<p>Text {words[i]} {k}</p>" for k in range(i + 1)) + f"{extra}</div>"
+        menu = "<table><tr><td><ul><li>Home<li>About us</ul></td><td>"
+        return f"<html><body><div>Example host</div>{menu}{own}</td></tr></table><div><p>Cookies are used</p></div><div>All rights reserved</div></body></html>"
+
+    def text(i):
+        return " ".join([f"Title {words[i]} Abstract", *(f"Text {words[i]} {k}" for k in range(i + 1))])
+
+    long = "<div><p>" + "A long own text. " * 20 + "</p><p>Short.</p></div>"
+    rows = [(i, f"http://plain.example/{i}", page(i)) for i in range(6)] + [(9, "http://single.example/", page(0))]
+    rows += [(10 + i, f"http://copies.example/{i}", f"<body>{long}<p>Read {words[i]} times</p></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {i: got[i] for i in range(6)} == {i: text(i) for i in range(6)}
+    assert got[9] == "Example host Home About us Title zero Abstract Text zero 0 Cookies are used All rights reserved"
+    assert [got[10 + i] for i in range(3)] == ["A long own text. " * 20 + f"Short. Read {words[i]} times" for i in range(3)]
