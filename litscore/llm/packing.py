@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
     """(doc_id, doc_tokens, crcs): tokens with the end id, and the crc32 of each window of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer.of_worker(path)
+        tokenizer = CachedTokenizer.of_worker(path, special=True)
         for batch in batches:
             for first, last, data, ends in slices(batch.column("text")):
                 part = batch.slice(first, last - first)

@@ -115,7 +115,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CachedTokenizer.of_worker(tokenizer, drop_space=True)
+        own = CachedTokenizer.of_worker(tokenizer, drop_space=True, special=True)
         part = TaskContext.get().partitionId()
         block, first, size_now, held, doc_ids, counts = 0, 0, 0, [], [], []
 

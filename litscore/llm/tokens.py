@@ -26,10 +26,11 @@ class CachedTokenizer:
     (``drop_space``), or else in front of a space that precedes anything but white space.
     All pieces of a slice are hashed by whole-array operations; the library encodes each
     distinct piece once, and the ids of a text are gathered from them. Only hashes and ids
-    are kept. Special tokens in a text count as ordinary text.
+    are kept. Special tokens in a text count as ordinary text, or with ``special`` as the
+    library takes them by default, each as its one id.
     """
 
-    def __init__(self, path: str, drop_space: bool = False) -> None:
+    def __init__(self, path: str, drop_space: bool = False, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         # it cuts at its special token, so that many pieces are encoded as one text
@@ -37,7 +38,7 @@ class CachedTokenizer:
         self.joint = "<|endoftext|>"
         self.joint_id = self.joined.token_to_id(self.joint)
         self.path, self.plain = path, None
-        self.drop_space = drop_space
+        self.drop_space, self.special = drop_space, special
         self.values = np.random.default_rng(4099).integers(1, 1 << 63, 256, np.uint64)
         self.blank = np.zeros(256, bool)
         self.blank[[9, 10, 11, 12, 13, 32]] = True
@@ -56,11 +57,11 @@ class CachedTokenizer:
         self.ends = np.zeros(1, np.int64)
 
     @classmethod
-    def of_worker(cls, path: str, drop_space: bool = False) -> CachedTokenizer:
+    def of_worker(cls, path: str, drop_space: bool = False, special: bool = False) -> CachedTokenizer:
         kept = worker_state()
-        key = ("tokenizer", path, drop_space)
+        key = ("tokenizer", path, drop_space, special)
         if key not in kept:
-            kept[key] = cls(path, drop_space)
+            kept[key] = cls(path, drop_space, special)
         return kept[key]
 
     def _starts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -74,6 +75,8 @@ class CachedTokenizer:
         else:
             begins = data == 32
             begins[:-1] &= ~self.joins[data[1:]]
+            if self.special:  # a special token ends the white space in front of it
+                begins[:-2] &= (data[1:-1] != ord("<")) | (data[2:] != ord("|"))
             begins[-1:] = False
             last = ends[1:][np.diff(ends) > 0] - 1
             begins[last] = False
@@ -85,7 +88,7 @@ class CachedTokenizer:
             from tokenizers import Tokenizer
 
             self.plain = Tokenizer.from_file(self.path)
-            self.plain.encode_special_tokens = True
+            self.plain.encode_special_tokens = not self.special
         return self.plain.encode(piece, add_special_tokens=False).ids
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:

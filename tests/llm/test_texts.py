@@ -169,6 +169,31 @@ def test_cached_ids_equal_the_library(name, drop):
     assert [i for t in texts for i in plain.encode(t or "", add_special_tokens=False).ids] == ids
 
 
+@pytest.mark.parametrize(("name", "drop"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_cached_ids_equal_the_plain_call_on_special_tokens(name, drop):
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    texts = odd_texts() + ["a  <|endoftext|>  b <|endoftext|>", " <|", "<|endoftext|><|startoftext|> c", "x <|ENDOFTEXT|> y"]
+    cached, ids, sizes = CachedTokenizer(tokenizer_path(name), drop, special=True), [], []
+    for _, _, data, ends in slices(pa.array(texts)):
+        found, own = cached.encode(data, ends)
+        ids += found.tolist()
+        sizes += own.tolist()
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes == [len(e) for e in expected] and ids == [i for e in expected for i in e]
+
+
+def test_special_tokens_of_packed_and_written_texts(spark, documents):
+    rows = [(1, "a  <|endoftext|>b"), (2, "c <|startoftext|> d"), (3, "e")]
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    got = packing.pack(documents(rows), tokenizer_path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    name, path = tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "test-special-ids")
+    library = Tokenizer.from_file(name)
+    simple8b.write_ids(documents(rows), path, name)
+    got = {r.doc_id: r.ids_crc32 for r in simple8b.crc(simple8b.read_ids(spark, path)).collect()}
+    assert got == {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows}
+
+
 @pytest.mark.parametrize("fallback", [False, True])
 def test_piece_counts_equal_the_library(fallback):
     pieces = counts.vocabulary(tokenizer_path("piece_bpe_32k.model"))
