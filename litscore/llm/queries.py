@@ -15,6 +15,7 @@ from litscore.llm.mixing import mix_sources, taken_words
 from litscore.llm.neardup import near_duplicates
 from litscore.llm.oracle import oracle_sql
 from litscore.llm.packing import pack
+from litscore.llm.pieces import encode_pieces, piece_digest
 from litscore.llm.quality import classify
 from litscore.llm.simple8b import crc, read_ids, write_ids
 from litscore.llm.suffix import digest, remove_repeats
@@ -75,8 +76,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every whole text, and the text they decode to, as digests."""
+    return piece_digest(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality, op11_sentencepiece)
     return {f.__name__: f for f in found}
 
 
