@@ -20,6 +20,7 @@ from litscore.llm.quality import classify
 from litscore.llm.simple8b import crc, read_ids, write_ids
 from litscore.llm.suffix import digest, remove_repeats
 from litscore.llm.tokens import tokenizer_path
+from litscore.llm.trie import conversation_trie
 from litscore.session import scratch_path
 
 
@@ -81,8 +82,13 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each rebuilt on the first turns of its hundred."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality, op11_sentencepiece)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality, op11_sentencepiece, op13_trie)
     return {f.__name__: f for f in found}
 
 
