@@ -17,6 +17,7 @@ from litscore.llm.oracle import oracle_sql
 from litscore.llm.packing import pack
 from litscore.llm.pieces import encode_pieces, piece_digest
 from litscore.llm.quality import classify
+from litscore.llm.search import rank_documents
 from litscore.llm.simple8b import crc, read_ids, write_ids
 from litscore.llm.suffix import digest, remove_repeats
 from litscore.llm.tokens import tokenizer_path
@@ -82,13 +83,18 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, each rebuilt on the first turns of its hundred."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality, op11_sentencepiece, op13_trie)
+    found = (op1_mixing, op2_html, op3_neardup, op4_simple8b, op5_suffix, op6_jaccard, op7_packing, op8_ann, op9_counts, op10_quality, op11_sentencepiece, op12_search, op13_trie)
     return {f.__name__: f for f in found}
 
 
