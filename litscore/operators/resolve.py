@@ -290,27 +290,27 @@ def leftover_urls(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     ).select(F.col(row_id).alias("row_id"), "url")
 
 
-def resolve_by_type(ids: DataFrame, sources: Sources, key: str = "lower") -> DataFrame:
-    """``(id_type, id, stage)`` and the article of each distinct id that has one.
+def by_type_key(id_type: Column, id_: Column, key: str = "lower") -> Column:
+    """What an id of a message is looked up by, given its type."""
+    doi = id_type == "nature_doi"
+    url = id_type.isin("biorxiv_url", "science_url")
+    return (
+        F.when(doi, doi_key(id_, key))
+        .when(url, https_url(id_))
+        .when(id_type == "arxiv", without_version(id_))
+        .otherwise(id_)
+    )
 
-    ``ids`` are those of the messages (``id_type``, ``id``) and a stored table. An id
-    is looked up once however many messages hold it.
+
+def by_type_candidates(sources: Sources, key: str = "lower") -> list[DataFrame]:
+    """Records of all sources once per ``(id_type, key)`` a message id can ask them by, with rank and stage.
+
+    Needs no wanted keys: the stages of Nature DOIs have no Elsevier lookup.
     """
-    doi = F.col("id_type") == "nature_doi"
-    url = F.col("id_type").isin("biorxiv_url", "science_url")
-    wanted = ids.select("id_type", "id").distinct().withColumn(
-        "key",
-        F.when(doi, doi_key(F.col("id"), key))
-        .when(url, https_url(F.col("id")))
-        .when(F.col("id_type") == "arxiv", without_version(F.col("id")))
-        .otherwise(F.col("id")),
-    )
     always = F.lit(True)
     entries: dict[str, list] = {}
     records: dict[str, DataFrame] = {}
-    keys = wanted.select("id_type", "key").distinct()
-    dois = keys.filter(F.col("id_type") == "nature_doi")
-    for name, df, entry in _doi_keys(sources, NATURE_STAGES, key, "nature_doi", dois):
+    for name, df, entry in _doi_keys(sources, NATURE_STAGES, key, "nature_doi", None):
         records[name] = df
         entries.setdefault(name, []).append(entry)
 
@@ -329,10 +329,28 @@ def resolve_by_type(ids: DataFrame, sources: Sources, key: str = "lower") -> Dat
             gate = F.col("publisher") == publisher
             url = https_url(F.col("url"))
             add("pages", usable_pages(sources["pages"]), f"{publisher}_url", url, publisher, gate)
-    if not records:
-        return _empty(ids, "id_type", "id", "stage", *ARTICLE_FIELDS)
-    candidates = [_keyed(df, *entries[name]) for name, df in records.items()]
-    first = _first_record(candidates, keys)
+    return [_keyed(df, *entries[name]) for name, df in records.items()]
+
+
+def resolve_by_type(ids: DataFrame, sources: Sources, key: str = "lower") -> DataFrame:
+    """``(id_type, id, stage)`` and the article of each distinct id that has one.
+
+    ``ids`` are those of the messages (``id_type``, ``id``) and a stored table. An id
+    is looked up once however many messages hold it. ``sources`` may also be a keyed
+    store of landed sources (:class:`litscore.sources.store.SourceStore`), which reads
+    only the buckets of the wanted keys.
+    """
+    wanted = ids.select("id_type", "id").distinct().withColumn(
+        "key", by_type_key(F.col("id_type"), F.col("id"), key)
+    )
+    keys = wanted.select("id_type", "key").distinct()
+    if hasattr(sources, "first_records"):
+        first = sources.first_records(keys)
+    else:
+        candidates = by_type_candidates(sources, key)
+        if not candidates:
+            return _empty(ids, "id_type", "id", "stage", *ARTICLE_FIELDS)
+        first = _first_record(candidates, keys)
     return wanted.join(first, ["id_type", "key"]).select(
         "id_type", "id", "stage", *ARTICLE_FIELDS
     )

@@ -491,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "resolve_without_doi": _with(*_SOURCES, _ROWS) + _WITHOUT_DOI,
         "leftover_urls": _with(_ROWS) + _LEFTOVER,
         "resolution_report": _REPORT,
-        "resolve_by_type": _with(*_BY_TYPE) + "SELECT * FROM found",
+        **dict.fromkeys(("resolve_by_type", "resolve_by_type_stored"), _with(*_BY_TYPE) + "SELECT * FROM found"),
         "unresolved_ids": _with(*_BY_TYPE)
         + "SELECT id_type, id FROM asked EXCEPT SELECT id_type, id FROM found",
         "resolve_library": _RESOLVE_LIBRARY,
@@ -530,7 +530,7 @@ def oracle_sql() -> dict[str, str]:
         " FROM n, (SELECT unnest(range(5)) AS f)",
         "score_alerts": _SCORE_ALERTS,
         "unhandled_alerts": _UNHANDLED,
-        **dict.fromkeys(("score_alert_stream", "redriven_alerts", "default_encoder"), _SCORE_ALERTS),
+        **dict.fromkeys(("score_alert_stream", "score_alert_stream_stored", "redriven_alerts", "default_encoder"), _SCORE_ALERTS),
         "stream_density": _with(*_density("events", "event_type", "value")) + "SELECT * FROM density",
     }
 

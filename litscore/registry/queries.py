@@ -31,6 +31,7 @@ from litscore.sources import (
     write_digest,
     write_library,
 )
+from litscore.sources.store import SourceStore, land_sources
 from litscore.streaming import redrive_unhandled, score_alert_stream, write_density
 
 send_by_value(__name__)
@@ -442,6 +443,20 @@ def resolve_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id_type", "id", "stage", *_SHOWN)
 
 
+def _landed_store(spark: SparkSession, sf_dir: str) -> SourceStore:
+    """The sources of the tables, landed once into a keyed store."""
+    path = scratch_path(spark, "source_store")
+    land_sources(inputs.sources(spark, sf_dir), path)
+    return SourceStore(spark, path)
+
+
+def resolve_by_type_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``resolve_by_type`` through the keyed store: only the buckets of the wanted keys are read."""
+    ids = _message_ids(spark, sf_dir)
+    found = resolve.resolve_by_type(ids, _landed_store(spark, sf_dir))
+    return found.select("id_type", "id", "stage", *_SHOWN)
+
+
 def unresolved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = _message_ids(spark, sf_dir)
     return resolve.unresolved_ids(ids, resolve.resolve_by_type(ids, inputs.sources(spark, sf_dir)))
@@ -666,6 +681,18 @@ def score_alert_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
 
 
+def score_alert_stream_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of messages resolved through the keyed store of landed sources."""
+    encoder, library = _text_library(spark, sf_dir)
+    out = scratch_path(spark, "digests")
+    run = score_alert_stream(
+        spark, _landed(spark, sf_dir), library, _landed_store(spark, sf_dir), out,
+        scratch_path(spark, "stream"), encoder, TEXT_THRESHOLD,
+    )
+    run.awaitTermination()
+    return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
+
+
 def stream_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curves that the stream writes beside its digests, here of event values by type."""
     events = inputs.table(spark, sf_dir, "events").select(
@@ -748,6 +775,7 @@ def queries() -> dict[str, Query]:
         "leftover_urls": leftover_urls,
         "resolution_report": resolution_report,
         "resolve_by_type": resolve_by_type,
+        "resolve_by_type_stored": resolve_by_type_stored,
         "unresolved_ids": unresolved_ids,
         "resolve_library": resolve_library_query,
         "hash_tfidf": hash_tfidf_query,
@@ -769,6 +797,7 @@ def queries() -> dict[str, Query]:
         "score_alerts": score_alerts,
         "unhandled_alerts": unhandled_alerts,
         "score_alert_stream": score_alert_stream_query,
+        "score_alert_stream_stored": score_alert_stream_stored,
         "stream_density": stream_density,
         "redriven_alerts": redriven_alerts,
         "default_encoder": default_encoder,
