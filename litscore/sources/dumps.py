@@ -10,11 +10,28 @@ from litscore import schema
 SOURCE_KINDS = ("pubmed", "arxiv", "crossref", "s2", "elsevier", "pages", "doi_redirect")
 
 
+def read_xml_records(spark: SparkSession, path: str, row_tag: str, fields: str) -> DataFrame:
+    """Records ``<row_tag>`` of XML files, scanned in splits that may fall anywhere.
+
+    The files are read as text whose lines end at the record's end tag, so a large dump is
+    cut into as many tasks as it has splits (a compressed file stays one); what comes
+    before a record's start tag in such a line (the declaration, the root's tag, white
+    space, the tail of the file, an empty record written as one self-closing tag) is
+    dropped, and each record is parsed by ``from_xml`` with the same options as the XML
+    reader. A record's end tag may not occur inside its own CDATA or comments; entities
+    are those of XML, not of a DTD in the file's header.
+    """
+    end = f"</{row_tag}>"
+    start = rf"(?s).*(<{row_tag}(?=[\s/>]).*)$"  # the last start tag: records do not nest
+    lines = spark.read.option("lineSep", end).text(path)
+    record = F.regexp_extract(F.col("value"), start, 1)
+    opened = lines.select(record.alias("r")).where(F.col("r") != "")
+    return opened.select(F.from_xml(F.concat(F.col("r"), F.lit(end)), fields).alias("x")).select("x.*")
+
+
 def _xml(row_tag: str, fields: str):
     def read(spark: SparkSession, path: str) -> DataFrame:
-        return (
-            spark.read.format("xml").option("rowTag", row_tag).schema(fields).load(path)
-        )
+        return read_xml_records(spark, path, row_tag, fields)
 
     return read
 

@@ -231,3 +231,25 @@ def test_landed_publishers(spark):
     assert found == {1: "science", 2: "nature", 3: "science"}
     assert sorted(r["page_id"] for r in unknown_pages(df).collect()) == [4, 5]
     assert {r["page_id"] for r in normalise_pages(df.drop("publisher")).collect()} == {2, 3}
+
+
+def test_xml_records_split_anywhere(spark, tmp_path):
+    """A dump of many splits is read by many tasks, with what the XML reader gives."""
+    from litscore import schema
+    from litscore.sources.dumps import read_xml_records
+
+    one = PUBMED.split("<PubmedArticleSet>")[1].split("</PubmedArticleSet>")[0]
+    odd = ('<PubmedArticle kind="x"><MedlineCitation><Article><ArticleTitle><![CDATA[a < b & </i>]]> &#233;t&#xE9;'
+           '</ArticleTitle></Article></MedlineCitation></PubmedArticle>')
+    body = "".join(one.replace(">1<", f">{i}<") + odd for i in range(4000))
+    (tmp_path / "big.xml").write_text(f'<?xml version="1.0"?>\n<PubmedArticleSet>{body}</PubmedArticleSet>\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        found = read_xml_records(spark, str(tmp_path), "PubmedArticle", schema.PUBMED)
+        assert found.rdd.getNumPartitions() > 4
+        whole = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema.PUBMED).load(str(tmp_path))
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+        assert found.count() == 12000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
