@@ -87,12 +87,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
     those with null or non-finite components, take no part; a query meets vectors of its own
     length only, and never rows of its own vec_id. Ties go to the smaller vec_id. Queries go
     in groups to blocks of vectors; from each block come ``k`` rows per query at most.
+    Repeated rows (equal vec_id and vector) are one row; a vec_id with several vectors is
+    found by its nearest one, and asks with each of them, its results merged.
     """
     vec = F.col("embedding")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = vectors.select("vec_id", vec.cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(
         F.col("vec_id").isNotNull() & vec.isNotNull() & fine & F.exists(vec, lambda x: x != 0)
     )
+    good = good.dropDuplicates(["vec_id", "embedding"])  # repeated rows are one vector; map-side first
     rows = store(spread(good.withColumn("dims", F.size("embedding"))), "ann-vectors")
     sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"))
     sizes = sizes.select("dims", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), F.ceil(F.greatest("q", F.lit(1)) / GROUP_QUERIES).alias("groups"))
@@ -116,8 +119,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
             asked_ids = queries["vec_id"].to_numpy()
             place = np.minimum(np.searchsorted(ids, asked_ids), len(ids) - 1)
             skip = np.where(ids[place] == asked_ids, place, -1)
+            # other rows of a query's own id are found and then left: ask for as many more
+            own_rows = np.searchsorted(ids, asked_ids, "right") - np.searchsorted(ids, asked_ids, "left")
+            more = int(max(own_rows.max(initial=0) - 1, 0))
             asked_units = unit(queries["embedding"])
-            for query_id, query, (found, scores) in zip(asked_ids, asked_units, index.search(asked_units, k, skip)):
+            for query_id, query, (found, scores) in zip(asked_ids, asked_units, index.search(asked_units, k + more, skip)):
                 other = ids[found] != query_id
                 found, scores = found[other], scores[other]
                 if len(scores) > k:
@@ -132,6 +138,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
     cells = data.select(*names, "vec_id", "embedding", F.lit(False).alias("ask")).union(
         asked.select(*names, "vec_id", "embedding", F.lit(True))
     )
-    found = cells.groupBy(*names).applyInPandas(search, "query_id bigint, vec_id bigint, score double").distinct()
+    found = cells.groupBy(*names).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -89,12 +89,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket_rows: int
 
     Rows of equal label are linked when the cosine of their embeddings, in double precision,
     is at least ``cosine``. Null or other unusable vectors, and those of other length, link
-    with nothing. Rows of equal vec_id are one vector if all is equal, else linked like
-    others. Equal vectors of a label are compared once and counted as often as they occur.
+    with nothing. Rows of equal vec_id are one vector if all is equal (a repeated row is
+    not its own neighbour and gives the same row again), else linked like others. Equal vectors of a label are compared once and counted as often as they occur.
     """
     vec, own = F.col("embedding"), F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", own.alias("embedding"), "label")
-    good = rows.filter(usable(vec, F.col("vec_id"), F.col("label")))
+    # repeated rows (equal vec_id, label and vector) are one vector; map-side first
+    good = rows.filter(usable(vec, F.col("vec_id"), F.col("label"))).dropDuplicates(["vec_id", "label", "embedding"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -129,3 +129,23 @@ def test_components(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(none).collect() == [] and nearest(none, F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("times", [2, 3, 6])
+def test_repeated_rows_are_one_vector(spark, times):
+    rows = [r for r in vectors(300, 16, 8) if r[0] is not None and r[2] is not None]
+    once = spark.createDataFrame(rows, SCHEMA)
+    many = spark.createDataFrame(rows * times, SCHEMA)
+    single = Counter((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(once).collect())
+    repeated = Counter((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(many).collect())
+    assert repeated == Counter({k: v * times for k, v in single.items()})
+    asked = F.col("vec_id") % 50 == 0
+    alone = sorted(tuple(r) for r in nearest(once, asked).collect())
+    assert sorted(tuple(r) for r in nearest(many, asked).collect()) == alone
+    assert all(q != v for q, _, v, _ in alone) and len(alone) == 5 * len({q for q, _, _, _ in alone})
+
+
+def test_own_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.02], 1), (50, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (3, [0.5, 0.5], 1)]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 50).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3]
