@@ -31,6 +31,7 @@ from litscore.sources import (
     write_digest,
     write_library,
 )
+from litscore.sources.digests import read_digest
 from litscore.sources.store import SourceStore, land_sources
 from litscore.streaming import redrive_unhandled, score_alert_stream, write_density
 
@@ -294,7 +295,7 @@ def digest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_digest(scored.filter("message_id % 2 = 1"), out, "b")
     write_digest(scored, out, "c")
     write_digest(scored.filter("message_id < 0"), out, "c")
-    stored = spark.read.schema("message_id BIGINT, distance DOUBLE, batch STRING").parquet(out)
+    stored = read_digest(spark, out, "message_id BIGINT, distance DOUBLE")
     return stored.groupBy("batch").agg(
         F.count("*").alias("n"), F.round(F.sum("distance"), 6).alias("distance")
     )
@@ -678,7 +679,7 @@ def score_alert_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages as a stream of files, through to the digest sink."""
     encoder, library = _text_library(spark, sf_dir)
     out = _stream(spark, sf_dir, library, encoder)
-    return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
+    return rounded(read_digest(spark, f"{out}/scored").select(*_SCORED), "distance")
 
 
 def score_alert_stream_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -690,7 +691,7 @@ def score_alert_stream_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch_path(spark, "stream"), encoder, TEXT_THRESHOLD,
     )
     run.awaitTermination()
-    return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
+    return rounded(read_digest(spark, f"{out}/scored").select(*_SCORED), "distance")
 
 
 def stream_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -714,7 +715,7 @@ def redriven_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     sources = inputs.sources(spark, sf_dir)
     redrive_unhandled(spark, landed, library, sources, out, "later", encoder, TEXT_THRESHOLD)
-    return rounded(spark.read.parquet(f"{out}/scored").select(*_SCORED), "distance")
+    return rounded(read_digest(spark, f"{out}/scored").select(*_SCORED), "distance")
 
 
 def default_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from litscore.operators.filters import CREATED, filter_library_since
 from litscore.operators.vectors import HashTfIdf
 from litscore.plans.library import build_library
 from litscore.schema import MESSAGE
+from litscore.sources.digests import compact_digest, read_digest
 from litscore.sources import read_library, read_library_csv, read_messages, write_digest
 
 EXPORT = '''title,abstract,doi,arxiv,url,"created (Read-Only)"
@@ -64,10 +65,25 @@ def test_digest_is_idempotent(spark, tmp_path):
     write_digest(df, path, "a")
     write_digest(df.filter("id < 3"), path, "b")
     write_digest(df.filter("id < 5"), path, "b")
-    counts = spark.read.parquet(path).groupBy("batch").count().collect()
+    counts = read_digest(spark, path).groupBy("batch").count().collect()
     assert {r["batch"]: r["count"] for r in counts} == {"a": 10, "b": 5}
 
 
+def test_digest_publishes_whole_batches(spark, tmp_path):
+    path = str(tmp_path / "d")
+    df = spark.range(10)
+    write_digest(df, path, "a")
+    write_digest(df.filter("id < 3"), path, "007")
+    # a write that fails before it is published leaves the old rows
+    df.filter("id < 1").write.parquet(f"{path}/_batches/part=ulost")
+    assert {r["batch"]: r["count"] for r in read_digest(spark, path).groupBy("batch").count().collect()} == {"a": 10, "007": 3}
+    write_digest(df.filter("id < 0"), path, "a")  # emptied
+    assert {r["batch"] for r in read_digest(spark, path).collect()} == {"007"}
+    assert compact_digest(spark, path) >= 1
+    assert read_digest(spark, path).count() == 3
+    assert read_digest(spark, str(tmp_path / "none"), "id BIGINT").count() == 0
+
+
 def test_shared_folder(spark):
     folder = session.shared_dir(spark)
     assert session.shared_dir(spark) == folder

@@ -1,3 +1,4 @@
+from litscore.sources.digests import read_digest
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,21 +80,21 @@ def test_stream_equals_batch_and_keeps_its_place(spark, world, tmp_path):
             spark, queue, library, sources, out, str(tmp_path / "checkpoint"), encoder, 0.5
         )
         query.awaitTermination()
-        return spark.read.parquet(f"{out}/scored")
+        return read_digest(spark, f"{out}/scored")
 
     batch = score_messages(spark.read.parquet(queue), library, sources, encoder)
     first = scored_rows(run())
     assert first == scored_rows(batch.scored)
-    assert reasons(spark.read.parquet(f"{out}/unhandled")) == REASONS
+    assert reasons(read_digest(spark, f"{out}/unhandled")) == REASONS
     assert scored_rows(run()) == first
 
     land(("three", "arxiv", "arXiv:2401.2"))
     again = run()
     assert [r[0] for r in scored_rows(again)] == ["one", "one", "three", "two"]
     assert again.select("batch").distinct().count() == 2
-    html = spark.read.parquet(f"{out}/html")
+    html = read_digest(spark, f"{out}/html")
     assert {r["message_id"] for r in html.collect()} == {"one", "two", "three"}
-    summary = {r["message_id"]: r["total"] for r in spark.read.parquet(f"{out}/summary").collect()}
+    summary = {r["message_id"]: r["total"] for r in read_digest(spark, f"{out}/summary").collect()}
     assert summary == {"one": 2, "two": 1, "three": 1}
 
     assert {r["message_id"] for r in pending_messages(spark, out).collect()} == set(REASONS)
@@ -103,7 +104,7 @@ def test_stream_equals_batch_and_keeps_its_place(spark, world, tmp_path):
         redrive_unhandled(spark, queue, library, landed, out, "1", encoder, 0.5)
         pending = {r["message_id"] for r in pending_messages(spark, out).collect()}
         assert pending == set(REASONS) - {"no articles"}
-    assert spark.read.parquet(f"{out}/scored").filter(F.col("message_id") == "no articles").count() == 1
+    assert read_digest(spark, f"{out}/scored").filter(F.col("message_id") == "no articles").count() == 1
 
 
 def test_scratch_tables_go_with_their_scope(spark):
