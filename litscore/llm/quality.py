@@ -107,14 +107,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     found = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, place binary, value binary")
     # one document of a repeated id, so that the bound holds; the order does not depend on the partitions
     kept = {}
-    for r in found.toLocalIterator():
-        kept.setdefault(r["doc_id"], []).append((bytes(r["place"]), bytes(r["value"]), r["label"]))
+    for r in found.toLocalIterator():  # the least row of an id, kept as they come: one per chosen id
+        row = (bytes(r["place"]), bytes(r["value"]), r["label"])
+        if r["doc_id"] not in kept or row < kept[r["doc_id"]]:
+            kept[r["doc_id"]] = row
     order = np.random.default_rng(42).permutation(len(kept))
     ids = sorted(kept)
     return fit_ftrl(
         [
             (np.frombuffer(p, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64), label)
-            for p, v, label in (min(kept[ids[i]]) for i in order)
+            for p, v, label in (kept[ids[i]] for i in order)
         ]
     )
 
