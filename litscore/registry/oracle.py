@@ -384,9 +384,9 @@ _ENTRY = (
     + " || '</i><br>' || " + _html_escaped("url") + " || '<br>distance ' || printf('%.3f', distance) || '</li>'"
 )
 _HTML = (
-    "SELECT message_id, '<html><body><h1>Matching papers</h1><p>' || count(*) FILTER (WHERE "
-    f"{_MATCH}) || ' out of ' || count(*) || ' matched</p><p>' || printf('%.1f', count(*) FILTER (WHERE {_MATCH})"
-    " / count(*) * 100) || '% of papers matched</p><p>Threshold: ' || "
+    "SELECT message_id, '<html><body><h1>Close to your library</h1><p>' || count(*) FILTER (WHERE "
+    f"{_MATCH}) || ' of ' || count(*) || ' articles are near</p><p>' || printf('%.1f', count(*) FILTER (WHERE {_MATCH})"
+    " / count(*) * 100) || '% near</p><p>Distance below ' || "
     f"printf('%.3f', {VECTOR_THRESHOLD}::DOUBLE) || '</p><ol>' || coalesce(string_agg({_ENTRY}, ''"
     f" ORDER BY distance, url, title) FILTER (WHERE {_MATCH}), '') || '</ol></body></html>' AS html"
     " FROM scored GROUP BY message_id"
