@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from litscore.llm import ann
 from litscore.llm.ann import Projections, nearest
 from litscore.llm.components import components, forest_of
 from litscore.llm.neardup import learn_rotations, near_duplicates
@@ -104,6 +105,46 @@ def test_nearest_equals_brute_force(spark):
     assert hits >= 0.95 * sum(map(len, expected.values()))
 
 
+def brute_nearest(rows, k=5):
+    units = {i: unit(v) for i, v, _ in rows}
+    near = {q: sorted((-float(x @ y), i) for i, y in units.items() if i != q)[:k] for q, x in units.items() if q % 50 == 0}
+    return {q: [i for _, i in own] for q, own in near.items()}
+
+
+@pytest.mark.parametrize("spreads", [0.05, 3.0])
+def test_nearest_over_several_blocks_and_groups(spark, monkeypatch, spreads):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 5)
+    visits = []
+    monkeypatch.setattr(ann, "_visits", lambda *given, real=ann._visits: visits.append(real(*given)) or visits[-1])
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 24)) * 2
+    rows = [(i, (centres[i % 6] + spreads * rng.standard_normal(24)).tolist(), 1) for i in range(1200)]
+    rows += [(1200 + i, rows[7][1], 1) for i in range(150)]  # copies that fill blocks of their own
+    got, expected = {}, brute_nearest(rows)
+    for r in nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == expected.keys() and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[q]) & set(own)) for q, own in expected.items()) >= 0.95 * 5 * len(expected)
+    visited = sum(len(r.blocks) for r in visits[0].collect())
+    if spreads < 1:  # blocks of other directions are left out
+        assert 0 < visited < 0.5 * len(expected) * (len(rows) / 60 - 1)
+
+
+def test_a_bound_from_another_block_opens_the_windows_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, opened = Projections(x), []
+    monkeypatch.setattr(Projections, "windows", lambda *given, real=Projections.windows: opened.append(1) or real(*given))
+    exact = np.sort(x[:20] @ x.T, 1)[:, ::-1][:, 1:6]
+    within = np.sqrt(2 - 2 * exact[:, 4])
+    hits = 0
+    for own, (rows, scores) in zip(exact, index.search(x[:20], 5, np.arange(20), within)):
+        hits += (np.sort(scores)[::-1][:5] >= own - 1e-12).sum()
+    assert len(opened) == 20 and hits >= 95
+
+
 def test_search_reaches_all_if_asked_for_more_than_there_are():
     x = np.random.default_rng(3).standard_normal((7, 5))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
