@@ -3,8 +3,10 @@
 A document that is similar to another shares at least SHARE percent of its shingles with it,
 so documents with fewer shingles that any other document has are done. Of the rest, those
 that could be similar are brought together: under any order of the shingles, two similar
-sets share one within the first size - ceil(share * size) + 1 of each, shingles of one
-document alone first. Documents tied by such keys within bands of size form cells.
+sets share one within the first size - ceil(share * size) + 1 of each. Shingles of one
+document alone come first, then those of few documents, so that what is common in the
+corpus ties only documents that have little else. Documents tied by such keys within
+bands of size form cells.
 
 A cell is joined by signature trees. Leaves are documents in order of size; a node holds the
 OR of the bitmaps of its documents and the range of their sizes. Two trees are traversed
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from litscore.llm.common import WordHasher, give_back, mix, slices, store, whole_groups
 from litscore.llm.components import Forest, components
-from litscore.llm.shared import among, bucketed, merged, narrow, shared_hashes
+from litscore.llm.shared import bucketed, degrees, merged, narrow, positions, shared_hashes
 
 SHINGLE_WORDS = 5
 #: Least similarity in percent: 100 * intersection >= SHARE * union.
@@ -181,15 +183,15 @@ def tree_join(
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, and for those that can be similar to another
-    ``own`` (its shared shingles, ascending, as bytes), their bitmap ``bits``, ``keys`` and two
-    hashes of the set;
+    ``own`` (its shared shingles, ascending, as bytes), their bitmap ``bits``, ``keys`` (the
+    rarest of them) and two hashes of the set;
     ``twin`` is a document of the same set in the same bucket, which then stands for it."""
     dealt, n = bucketed(docs)
-    shared = shared_hashes(dealt, n, Shingles, "jaccard-shingles")
+    shared = shared_hashes(dealt, n, Shingles, "jaccard-shingles", counted=True)
     schema = "doc_id bigint, n_shingles bigint, twin bigint, f1 bigint, f2 bigint, own binary, bits binary, keys array<bigint>"
 
     def collect(texts: pa.Table, found: pa.Table) -> pa.Table:
-        shingles, known = Shingles(), merged(found)
+        shingles, known, degree = Shingles(), merged(found), degrees(found)
         ids = texts.column("doc_id").combine_chunks()
         rows: list[tuple] = []
         seen: dict[tuple, int] = {}
@@ -198,7 +200,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         all_ids = ids.to_pylist()
         for first, last, data, ends in slices(texts.column("text")):
             text, hashes = _distinct(*shingles(data, ends))
-            common = among(narrow(hashes, n), known)
+            at = positions(narrow(hashes, n), known)
+            common = at >= 0
             cuts = np.searchsorted(text, np.arange(last - first + 1))
             sizes = np.diff(cuts)
             with_others = np.diff(np.concatenate([[0], common.cumsum()])[cuts])
@@ -213,10 +216,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, size, seen[mark], *[None] * 5))
                     continue
                 seen[mark] = doc_id
-                own = whole[common[cuts[i] : cuts[i + 1]]]
+                mine = at[cuts[i] : cuts[i + 1]]
+                own = whole[mine >= 0]
+                rare = np.argsort(degree[mine[mine >= 0]], kind="stable")  # equal ones by hash
                 prefix = size - -(-SHARE * size // 100) + 1 - (size - count)
                 bits = bitmap(own, fitting_width(count)).tobytes()
-                rows.append((doc_id, size, None, mark[1], mark[2], own.tobytes(), bits, own[:prefix].view(np.int64)))
+                rows.append((doc_id, size, None, mark[1], mark[2], own.tobytes(), bits, own[rare[:prefix]].view(np.int64)))
         give_back()
         columns = list(zip(*rows)) if rows else [[]] * 8
         kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.list_(pa.int64())]

@@ -61,8 +61,11 @@ def _blobs(at: list, origin: list, n: list, data: list) -> pa.Table:
     )
 
 
-def shared_hashes(docs: DataFrame, buckets: int, parts: Callable[[], Parts], name: str) -> DataFrame:
-    """For each bucket (``origin``) the narrowed hashes of its parts that another document has too, by key bucket (``at``)."""
+def shared_hashes(docs: DataFrame, buckets: int, parts: Callable[[], Parts], name: str, counted: bool = False) -> DataFrame:
+    """For each bucket (``origin``) the narrowed hashes of its parts that another document has too, by key bucket (``at``).
+
+    With ``counted`` each has a byte that tells how many documents hold it, see :func:`merged`.
+    """
 
     def send(table: pa.Table) -> pa.Table:
         own, per_doc, origin = parts(), [], table.column("bucket")[0].as_py()
@@ -77,13 +80,28 @@ def shared_hashes(docs: DataFrame, buckets: int, parts: Callable[[], Parts], nam
         keys, times = np.unique(np.concatenate(per_doc), return_counts=True)
         cuts = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         at = np.flatnonzero(np.diff(cuts))
+        note = (lambda n: np.minimum(n, 255).astype(np.uint8)) if counted else (lambda n: np.packbits(n > 1))
         data = [
-            put(keys[a:b] & np.uint64(0xFFFFFFFF)) + np.packbits(times[a:b] > 1).tobytes()
-            for a, b in zip(cuts[at], cuts[at + 1])
+            put(keys[a:b] & np.uint64(0xFFFFFFFF)) + note(times[a:b]).tobytes() for a, b in zip(cuts[at], cuts[at + 1])
         ]
         give_back()
         return _blobs(at.tolist(), [origin] * len(at), np.diff(cuts)[at].tolist(), data)
 
+    def weigh(table: pa.Table) -> pa.Table:
+        at, origins, sizes = table.column("at")[0].as_py(), table.column("origin").to_pylist(), table.column("n").to_pylist()
+        blobs = table.column("data").to_pylist()
+        keys = np.concatenate([get(d, n) for d, n in zip(blobs, sizes)])
+        times = np.concatenate([np.frombuffer(d, np.uint8, offset=4 * n) for d, n in zip(blobs, sizes)])
+        order = np.argsort(keys, kind="stable")
+        new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+        sums = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new))
+        held = np.empty(len(keys), np.int64)
+        held[order] = sums[np.cumsum(new) - 1]
+        degree = np.frexp(held)[1].astype(np.uint8)
+        ends = np.cumsum(sizes)
+        out = [(k, keys[a:b][more], degree[a:b][more]) for k, a, b in zip(origins, ends - sizes, ends) if (more := held[a:b] > 1).any()]
+        return _blobs([at] * len(out), [k for k, _, _ in out], [len(k) for _, k, _ in out], [put(k) + d.tobytes() for _, k, d in out])
+
     def find(table: pa.Table) -> pa.Table:
         at, origins, sizes = table.column("at")[0].as_py(), table.column("origin").to_pylist(), table.column("n").to_pylist()
         own = [(get(d, n), np.unpackbits(np.frombuffer(d, np.uint8, offset=4 * n), count=n) > 0) for d, n in zip(table.column("data").to_pylist(), sizes)]
@@ -97,16 +115,33 @@ def shared_hashes(docs: DataFrame, buckets: int, parts: Callable[[], Parts], nam
         return _blobs([at] * len(kept), [origins[i] for i in kept], [len(out[i]) for i in kept], [put(out[i]) for i in kept])
 
     sent = docs.groupBy("bucket").applyInArrow(send, BLOB)
-    return store(sent.groupBy("at").applyInArrow(find, BLOB), name)
+    return store(sent.groupBy("at").applyInArrow(weigh if counted else find, BLOB), name)
+
+
+def _by_key(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    return sorted(zip(*(table.column(c).to_pylist() for c in ("at", "n", "data"))), key=lambda r: r[0])
 
 
 def merged(table: pa.Table) -> np.ndarray:
     """The narrowed shared hashes of a bucket, ascending."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("at", "n", "data"))), key=lambda r: r[0])
-    return np.concatenate([np.zeros(0, np.uint64), *((np.uint64(at) << np.uint64(32)) | get(d, n).astype(np.uint64) for at, n, d in rows)])
+    return np.concatenate([np.zeros(0, np.uint64), *((np.uint64(at) << np.uint64(32)) | get(d, n).astype(np.uint64) for at, n, d in _by_key(table))])
 
 
-def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+def degrees(table: pa.Table) -> np.ndarray:
+    """Of each of :func:`merged`, if counted, the binary digits of the number of documents that hold it.
+
+    Every bucket is told the same of a hash.
+    """
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(d, np.uint8, offset=4 * n) for _, n, d in _by_key(table))])
+
+
+def positions(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Where each value is among ``ascending``; -1 if it is not."""
     if not len(ascending):
-        return np.zeros(len(values), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)
+    return np.where(ascending[at] == values, at, -1)
+
+
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return positions(values, ascending) >= 0

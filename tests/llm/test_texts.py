@@ -8,14 +8,16 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from tokenizers import Tokenizer, models
 
 from litscore.llm.common import slices
 from litscore.llm import counts, mixing, packing, simple8b
 from litscore.llm.counts import Counter as PieceCounter
-from litscore.llm.jaccard import bitmap, fitting_width, folded, similar_groups, tree_join
+from litscore.llm.jaccard import bitmap, fitting_width, folded, shingle_sets, similar_groups, tree_join
 from litscore.llm.quality import classify, fit_quality
+from litscore.llm.shared import degrees, merged, shared_hashes
 from litscore.llm.suffix import LENGTH, digest, refine, remove_repeats
 from litscore.llm.tokens import CachedTokenizer, tokenizer_path
 from litscore.session import scratch_path
@@ -84,6 +86,37 @@ def test_groups_of_split_cells(documents, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
 
 
+def test_keys_are_rare_shingles(documents):
+    """Pairs of near copies that all hold one notice: no key is a shingle of the notice."""
+    rng = random.Random(8)
+    text = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    notice, rows = text(40), []
+    for i in range(30):
+        own = text(60)
+        rows += [(2 * i, " ".join(own + notice)), (2 * i + 1, " ".join([*own[:-1], "x", *notice]))]
+    sets = shingle_sets(documents(rows)).collect()
+    assert max(Counter(k for r in sets for k in r["keys"]).values()) == 2
+    groups = {(r.doc_id, r.component_id) for r in similar_groups(documents(rows)).collect()}
+    assert groups == {(i, i - i % 2) for i in range(60)}
+
+
+def test_shared_hashes_are_counted(documents):
+    """Every bucket is told how many documents hold a hash, whichever buckets these are in."""
+    from litscore.llm.jaccard import Shingles
+    from litscore.llm.shared import bucket_of
+
+    docs = documents([(i, "a b c d e" if i < 9 else "f g h i j" if i < 11 else f"k{i}") for i in range(14)])
+    dealt = docs.select(bucket_of(3), "doc_id", "text")
+    plain, counted = (shared_hashes(dealt, 3, Shingles, "t", c).toArrow() for c in (False, True))
+    degree = {}
+    for origin in range(3):
+        one, two = (t.filter(pa.compute.equal(t["origin"], origin)) for t in (plain, counted))
+        assert merged(one).tolist() == merged(two).tolist()
+        for h, d in zip(merged(two).tolist(), degrees(two).tolist()):
+            assert degree.setdefault(h, d) == d
+    assert sorted(degree.values()) == [2, 4]  # of two and of nine documents
+
+
 def test_tree_join_equals_all_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 200, np.uint64)
