@@ -231,3 +231,19 @@ def test_pages_are_scanned_once(spark, sources, tmp_path):
     found = resolve.resolve_by_type(ids, {**sources, "pages": stored})
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_many_keys_drop_records_before_the_shuffle(spark, monkeypatch):
+    """Bits of the wanted keys keep every record of such a key and few others."""
+    on = ["id_type", "key"]
+    name = (F.col("id") % 3).cast("string").alias("id_type"), F.col("id").cast("string").alias("key")
+    records = spark.range(20_000).select(*name, F.col("id").alias("n"))
+    odd = spark.createDataFrame([(None, "5", -1), ("1", None, -2)], "id_type STRING, key STRING, n BIGINT")
+    keys = spark.range(0, 20_000, 50).select(*name).unionByName(odd.select(*on))
+    likely = joins._likely_wanted(records.unionByName(odd), keys, on)
+    assert 400 <= likely.count() < 800
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    found = joins.only_wanted(records.unionByName(odd), keys, on)
+    assert sorted(r.n for r in found.collect()) == list(range(0, 20_000, 50))
+    assert "getbit" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.only_wanted(records, keys.filter("key = 'no'"), on).count() == 0
